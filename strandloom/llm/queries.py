@@ -8,14 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .token_files import encode_and_read_back
+from .warc import archive_and_read_back
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read_back(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
+    "op10_warc_index": op10_warc_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc_index": """
+        with p as (
+            select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+            from pages),
+        f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+            case when payload_bytes >= 100 and first_id < page_id then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 100 and first_id < page_id then first_id end as refers_to
+        from f""",
+}
