@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .packing import pack
 from .token_files import encode_and_read_back
 from .warc import archive_and_read_back
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(read_table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op10_warc_index": op10_warc_index,
 }
