@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .packing import pack
 from .token_files import encode_and_read_back
+from .topk import top_k
 from .warc import archive_and_read_back
 
 
@@ -20,6 +22,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(read_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), k=10, query_filter=F.col("vec_id") % 100 == 0)
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read_back(read_table(spark, sf_dir, "pages"))
 
@@ -27,10 +33,22 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op6_exact_top_k": op6_exact_top_k,
     "op10_warc_index": op10_warc_index,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as code
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.code, c.code), x -> x[1] * x[2])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id
+            where q.vec_id % 100 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10""",
     "op10_warc_index": """
         with p as (
             select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
