@@ -11,6 +11,7 @@ from .common import read_table
 from .packing import pack
 from .token_files import encode_and_read_back
 from .topk import top_k
+from .toxicity import classify as classify_toxicity
 from .warc import archive_and_read_back
 
 
@@ -26,6 +27,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), k=10, query_filter=F.col("vec_id") % 100 == 0)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read_back(read_table(spark, sf_dir, "pages"))
 
@@ -34,17 +39,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_toxicity": op7_toxicity,
     "op10_warc_index": op10_warc_index,
 }
 
 ORACLES: dict[str, str] = {
     "op6_exact_top_k": """
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as code
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as code
             from embeddings
-            where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
-            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.code, c.code), x -> x[1] * x[2])) as bigint) as score
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.code, c.code), lambda x: x[1] * x[2])) as bigint) as score
             from v q join v c on q.vec_id <> c.vec_id
             where q.vec_id % 100 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
