@@ -12,15 +12,15 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+")
-_BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -50,15 +50,19 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), END_ID + 1) <= 65536 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0].get("invert") is True
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.by_chunk else None
-        self.specials = [t["content"] for t in spec.get("added_tokens") or []]
+        specials = [t["content"] for t in spec.get("added_tokens") or []]
+        self.by_chunk = self.by_chunk and not any(s.isalpha() or any(c.isspace() for c in s) for s in specials)
+        self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
         self.byte_chars = _byte_alphabet()
         self.pieces: dict[str, bytes] = {}
         self.chunks = _Chunks(self)
@@ -67,11 +71,14 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk) or any(s in chunk for s in self.specials):
+        if chunk.isascii() and chunk.isalpha():
+            return self.piece(chunk.lower())
+        if not _PLAIN.fullmatch(chunk) or self.special.search(chunk):
             return self.whole(chunk)
         text = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
-        found = self.pattern.findall(text)
-        return self.piece(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
+        if chunk.isascii() and chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return self.piece(text[:-1]) + self.piece(text[-1])
+        return b"".join(map(self.piece, self.pattern.findall(text)))
 
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -79,7 +86,7 @@ class WordEncoder:
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             chars = piece if piece.isascii() else "".join(map(self.byte_chars.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(chars)], self.dtype).tobytes()
+            ids = array(self.code, [t.id for t in self.model.tokenize(chars)]).tobytes()
             if len(piece) <= 64:
                 self.pieces[piece] = ids
         return ids
@@ -89,7 +96,7 @@ class WordEncoder:
             return b""
         if not self.by_chunk:
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.translate(_BLANKS).split(" ")))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     def document(self, text: str | None) -> bytes:
         """The ids with the end id."""
