@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .neardup import near_duplicates
 from .packing import pack
 from .token_files import encode_and_read_back
 from .topk import top_k
@@ -23,6 +24,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(read_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), k=10, query_filter=F.col("vec_id") % 100 == 0)
 
@@ -38,12 +43,31 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
     "op10_warc_index": op10_warc_index,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+            from documents),
+        s as (
+            select doc_id, case when len(words) = 0 then [] when len(words) = 1 then [words[1]]
+                else list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) end as shingles
+            from w),
+        u as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from s),
+        c as (
+            select a.doc_id as x, b.doc_id as y
+            from u a join u b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n
+            having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        r as (select doc_id as x, doc_id as y from documents union select r.x, c.y from r join c on r.y = c.x),
+        m as (select x, min(y) as component_id from r group by x)
+        select s.doc_id, cast(len(s.shingles) as bigint) as n_shingles, m.component_id, s.doc_id = m.component_id as kept
+        from s join m on m.x = s.doc_id""",
     "op6_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as code
