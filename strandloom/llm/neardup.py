@@ -7,8 +7,9 @@ for every bin. ``rows`` bins form a band; a band's key names a bucket. Documents
 Candidates are stars: every member of a bucket is paired with the bucket's smallest id, so a bucket of n gives n - 1
 pairs. Links are confirmed on the full sets (100 * intersection >= threshold * union) in three steps, and components
 are taken after each: each document with the star centre it shares most buckets with; the other star pairs whose ends
-are still apart; and, so that no link is lost to a centre that is like neither of two documents, pairs within a bucket
-whose components are still apart and that no star has compared. Nothing is capped or sampled. At similarity 0.8 a pair
+are still apart; and, so that no link is lost to a centre that is like neither of two documents, documents of a bucket
+whose components are still apart are compared with one another, in large buckets block by block. Nothing is capped or
+sampled. At similarity 0.8 a pair
 shares no bucket with a probability of (1 - 0.8^5)^36 < 1e-6.
 
 Defined results: texts that are null, empty or without words have an empty set and stand alone; fewer words than a
@@ -36,6 +37,9 @@ THRESHOLD = 80
 CACHE_WORDS = 500_000
 #: Ids of this number at most are broadcast to pick the candidates' texts; above it the join is shuffled.
 BROADCAST_IDS = 500_000
+#: Buckets from this size on are compared block by block; a block holds about so many documents.
+LARGE = 48
+BLOCK = 512
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -157,6 +161,62 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links (a, b) that join the components within large buckets (key, class_id, component, size).
+
+    A bucket is cut into blocks of about ``BLOCK`` documents and two blocks meet in a task, which counts all
+    intersections at once as a product of incidence matrices, so no pair of documents becomes a row. What a task
+    returns is a spanning forest over the components that it saw: at most one link for each document.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["class_id", "shingles"])
+
+    def met(table: pa.Table) -> pa.Table:
+        ids, comp = table.column("class_id").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sizes = np.array([len(s) for s in sets])
+        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = df[column] > 1
+        row, (kept, column) = row[shared], np.unique(column[shared], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, len(kept), 2048):
+            lo, hi = np.searchsorted(column, [at, at + 2048])
+            m = np.zeros((len(sets), min(2048, len(kept) - at)), np.float32)
+            m[row[lo:hi], column[lo:hi] - at] = 1.0
+            both += m @ m.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+        linked &= comp[:, None] != comp[None, :]
+        top = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    ids = buckets.select(F.col("class_id").alias("doc_id")).distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingled, "class_id long, shingles binary")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
+    dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", "component")
+    return dealt.join(sets, "class_id").groupBy("key", "lo", "hi").applyInArrow(met, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for every node of the undirected edges (a, b).
 
@@ -225,12 +285,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     labels = _merged(labels, staged(confirmed(rest, texts, words, threshold), "confirmed"))
 
     # Buckets whose members still lie in several components.
-    placed = members.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key", "class_id", "n", "centre", F.coalesce("component", "class_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    apart = staged(placed.join(mixed, "key").filter("class_id <> centre"), "mixed-buckets")
-    x, y = apart.select("key", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), apart.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    placed = members.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    apart = staged(placed.join(mixed, "key"), "mixed-buckets")
+    few = apart.filter(F.col("size") < LARGE)
+    x, y = few.select("key", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), few.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = x.join(y, "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    labels = _merged(labels, staged(confirmed(pairs, texts, words, threshold), "confirmed"))
+    links = confirmed(pairs, texts, words, threshold).union(linked_blocks(apart.filter(F.col("size") >= LARGE), texts, words, threshold))
+    labels = _merged(labels, staged(links, "confirmed"))
 
     of_class = classes.select("set_key", "class_id").join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component"))
     # A document that repeats its id under several sets joins the components of them all.
