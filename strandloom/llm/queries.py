@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .licenses import scan as scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
 from .token_files import encode_and_read_back
@@ -36,6 +37,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read_back(read_table(spark, sf_dir, "pages"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op10_warc_index": op10_warc_index,
 }
 
