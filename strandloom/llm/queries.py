@@ -11,6 +11,7 @@ from .common import read_table
 from .licenses import scan as scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import pseudonymise
 from .token_files import encode_and_read_back
 from .topk import top_k
 from .toxicity import classify as classify_toxicity
@@ -41,6 +42,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read_back(read_table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_warc_index": op10_warc_index,
 }
 
