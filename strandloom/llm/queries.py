@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import flag as flag_leaks
 from .licenses import scan as scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
@@ -18,6 +19,10 @@ from .toxicity import classify as classify_toxicity
 from .warc import archive_and_read_back
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
