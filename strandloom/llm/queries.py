@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import flag as flag_leaks
+from .html_text import main_texts
 from .licenses import scan as scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
@@ -23,6 +24,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return flag_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
