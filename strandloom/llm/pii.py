@@ -130,8 +130,8 @@ def _pseudonym(m: str, key: str) -> str:
     return "case " + " ".join(f"when {m} rlike {kind[k]} then named_struct('kind', '{k}', 'text', {made[k]})" for k, _ in KINDS) + f" else named_struct('kind', 'none', 'text', {m}) end"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``column``, and pii_kinds: the sorted kinds that were replaced, one for each place."""
+def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_column: str = "pii_kinds") -> DataFrame:
+    """``docs`` with pseudonyms in ``column``, and in ``kinds_column`` the sorted kinds that were replaced, one for each place."""
     text = F.col(column).cast("string")
     # One pass tells most texts from those that need the whole pattern.
     some = text.rlike("[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:]")
@@ -142,4 +142,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     joined = F.array_join(F.zip_with(gaps, F.concat(F.transform("_pii_new", lambda x: x["text"]), F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
     changed = F.filter(F.arrays_zip(F.col("_pii_new").alias("n"), F.col("_pii_found").alias("f")), lambda x: x["n"]["text"] != x["f"])
     kinds = F.array_sort(F.transform(changed, lambda x: x["n"]["kind"]))
-    return out.withColumn("_pii_text", F.when(F.size("_pii_found") > 0, joined).otherwise(text)).withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(column, F.col("_pii_text")).drop("_pii_found", "_pii_new", "_pii_text")
+    return out.withColumn("_pii_text", F.when(F.size("_pii_found") > 0, joined).otherwise(text)).withColumn(kinds_column, F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(column, F.col("_pii_text")).drop("_pii_found", "_pii_new", "_pii_text")

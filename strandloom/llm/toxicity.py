@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return train(*labelled_terms(docs, labels, max_labelled), max_terms)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column score; all columns are kept."""
+def score(docs: DataFrame, model: Model, out_column: str = "score") -> DataFrame:
+    """``docs`` with the score in ``out_column``; all other columns are kept."""
     name = "text"
     sent = docs.sparkSession.sparkContext.broadcast((model.terms, model.w, model.v, model.bias))
 
@@ -161,12 +161,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = set(map(cached.__getitem__, (text.as_py() or "").split()))
                 found.discard(-1)
                 out.append(model.score(np.fromiter(sorted(found), np.int64, len(found))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, out_column])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    plain = docs.withColumn(name, F.col(name).cast("string"))
-    return plain.mapInArrow(scored, StructType([*[f for f in plain.schema.fields if f.name != "score"], StructField("score", DoubleType())]))
+    plain = docs.withColumn(name, F.col(name).cast("string")).drop(out_column)
+    return plain.mapInArrow(scored, StructType([*plain.schema.fields, StructField(out_column, DoubleType())]))
 
 
 def is_held_out(doc_id) -> F.Column:
