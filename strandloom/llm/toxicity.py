@@ -30,6 +30,8 @@ EPOCHS = 20
 #: Weight of a toxic row in the loss: they are few.
 TOXIC_WEIGHT = 4.0
 BATCH = 256
+#: A small sample is gone over more often, so that there are so many steps at least.
+MIN_STEPS = 300
 CACHE_WORDS = 500_000
 _EDGES = string.punctuation + "¡¿«»„“”‘’…–—"
 
@@ -118,6 +120,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, fac
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(m), rng.normal(0, 0.02, (m, factors)), math.log(toxic / (len(y) - toxic))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
+    epochs = max(epochs, -(-MIN_STEPS // -(-len(rows) // BATCH)))
     for _ in range(epochs if m else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
