@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from . import neighbours as nb
-from .graph import min_label
+from .graph import cut_lineage, min_label
 
 
 def directional(weighted: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,9 +67,10 @@ def leftovers(nodes: DataFrame, parents: DataFrame, clusters: DataFrame, config:
 
 def assign(reads: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     """``reads`` (with node_id) with seed: the node that names their molecule within the locus; and the molecule's barcode."""
-    dense = nb.with_reach(nb.density(nodes, config), config)
-    parents = nb.credits(dense, config)
-    weighted = nb.weights(dense, parents)
+    # Each of these is read by several later steps.
+    dense = cut_lineage(nb.with_reach(nb.density(nodes, config), config))
+    parents = cut_lineage(nb.credits(dense, config))
+    weighted = cut_lineage(nb.weights(dense, parents))
     clusters = directional(weighted, nb.directed_edges(weighted, config))
     own = clusters.select("locus_id", "node_id", "seed")
     followers = parents.join(clusters.select("locus_id", F.col("node_id").alias("parent"), "seed"), ["locus_id", "parent"]).select("locus_id", "node_id", "seed")

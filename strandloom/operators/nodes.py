@@ -35,8 +35,12 @@ def nodes(reads: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(reads with node_id, nodes). node_id counts from 1 within the locus by key and first read."""
     joined = linked(reads, config)
     edges = bridges(joined, config).withColumn("grp", F.struct("locus_id", "umi_key"))
-    top = undirected_min(edges.select("grp", "a", "b")).select(F.col("grp.locus_id").alias("locus_id"), F.col("grp.umi_key").alias("umi_key"), F.col("node").alias("island"), F.col("label").alias("_top"))
-    joined = joined.join(top, ["locus_id", "umi_key", "island"], "left").withColumn("component", F.coalesce("_top", "island")).drop("_top")
+    # Bridges are rare; without any the rounds of label propagation are left out.
+    if config.positions and joined.filter("alt_anchor is not null").take(1) and edges.take(1):
+        top = undirected_min(edges.select("grp", "a", "b")).select(F.col("grp.locus_id").alias("locus_id"), F.col("grp.umi_key").alias("umi_key"), F.col("node").alias("island"), F.col("label").alias("_top"))
+        joined = joined.join(top, ["locus_id", "umi_key", "island"], "left").withColumn("component", F.coalesce("_top", "island")).drop("_top")
+    else:
+        joined = joined.withColumn("component", F.col("island"))
     alt = F.when(F.col("alt_anchor").isNotNull(), F.struct(F.col("alt_anchor").alias("pos"), F.col("alt_exon").alias("exon")))
     grouped = joined.groupBy("locus_id", "umi_key", "component").agg(
         F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("b3").alias("b3"), F.first("damaged").alias("damaged"), F.first("strand").alias("strand"),

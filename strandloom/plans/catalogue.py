@@ -11,6 +11,7 @@ from ..config import Config
 from ..functions import geometry as geo
 from ..functions import umi
 from ..operators import annotation, clusters, filters, loci, molecules, neighbours, nodes, representative
+from ..operators.graph import cut_lineage
 from ..sources import testdata
 from ..sources.testdata import READS_SQL
 from ..streaming.loci import session_loci
@@ -104,7 +105,8 @@ members as (select r.*, h.seed from reads r join homes h using (locus_id, node_i
 
 
 def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testdata.used_reads(spark, sf_dir, CONFIG)
+    """The used reads, through a checkpoint: the stages behind look at them several times."""
+    return cut_lineage(testdata.used_reads(spark, sf_dir, CONFIG))
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +114,18 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.with_reach(neighbours.density(nodes.nodes(_placed(spark, sf_dir), CONFIG)[1], CONFIG), CONFIG)
+    return cut_lineage(neighbours.with_reach(neighbours.density(nodes.nodes(_placed(spark, sf_dir), CONFIG)[1], CONFIG), CONFIG))
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = _dense(spark, sf_dir)
-    return neighbours.weights(dense, neighbours.credits(dense, CONFIG))
+    return cut_lineage(neighbours.weights(dense, neighbours.credits(dense, CONFIG)))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of molecules with an undamaged seed."""
     reads, table = nodes.nodes(_placed(spark, sf_dir), CONFIG)
-    return clusters.assign(reads, table, CONFIG).filter("not umi_damaged")
+    return cut_lineage(clusters.assign(reads, table, CONFIG).filter("not umi_damaged"))
 
 
 @query(_RAW + """
