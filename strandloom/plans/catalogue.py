@@ -373,7 +373,7 @@ def full_length_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = filters.drop_reasons(testdata.records(spark, sf_dir, CONFIG), CONFIG)
+    reasons = cut_lineage(filters.drop_reasons(testdata.records(spark, sf_dir, CONFIG), CONFIG))
     done = deduplicate(reasons.filter("drop_reason is null").drop("drop_reason"), CONFIG)
     return molecules.report(reasons, done.reads, done.nodes, done.molecules)
 

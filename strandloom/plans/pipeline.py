@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Config
 from ..operators import clusters, loci, molecules, nodes, representative
+from ..operators.graph import cut_lineage
 
 
 @dataclass
@@ -21,9 +22,10 @@ class Result:
 def deduplicate(used: DataFrame, config: Config, introns: DataFrame | None = None) -> Result:
     """``used``: filtered reads with ordinal, tid, strand, start, end, anchor, alt_anchor, alt_exon, clip5, junctions,
     exonic_len, qs, pt, has_sa, b0..b3, damaged, umi_key."""
-    placed = loci.loci(used, config.pos_tol)
-    reads, table = nodes.nodes(placed, config)
-    assigned = clusters.assign(reads, table, config)
+    # Each stage is read several times behind; checkpoints keep it from being computed again.
+    placed = cut_lineage(loci.loci(used, config.pos_tol))
+    reads, table = map(cut_lineage, nodes.nodes(placed, config))
+    assigned = cut_lineage(clusters.assign(reads, table, config))
     chosen = representative.longest(assigned) if config.rep == "longest" else representative.consensus(assigned, introns, not config.lenient_junctions)
     found = molecules.summary(assigned).join(chosen, representative.MOLECULE)
-    return Result(reads, table, assigned, molecules.number(found))
+    return Result(reads, table, assigned, cut_lineage(molecules.number(found)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config
 from strandloom.functions import umi
-from strandloom.operators import annotation, graph, loci, molecules
+from strandloom.operators import annotation, graph, loci, molecules, representative
 from strandloom.plans.pipeline import deduplicate
 from strandloom.streaming.loci import session_loci
 
@@ -24,34 +24,38 @@ def reads(spark, rows):
     return spark.createDataFrame(out, SHAPE).withColumn("damaged", umi.is_damaged(blocks)).withColumn("umi_key", umi.packed_key(blocks, F.col("damaged")))
 
 
-def sizes(spark, rows, config=Config()):
-    return sorted(r.n_reads for r in deduplicate(reads(spark, rows), config).molecules.collect())
-
-
 def sub(blocks, k, block):
     return (*blocks[:k], block, *blocks[k + 1 :])
 
 
-def test_directional_three_to_one_merges_and_two_to_two_does_not(spark):
-    near = sub(B, 0, "ACGC")
-    assert sizes(spark, [(100, B, {})] * 3 + [(100, near, {})]) == [4]
-    assert sizes(spark, [(100, B, {})] * 2 + [(100, near, {})] * 2) == [2, 2]
-
-
-def test_same_barcode_far_apart_splits(spark):
-    assert sizes(spark, [(100, B, {}), (105, B, {}), (5000, B, {})]) == [1, 2]
-
-
-def test_damaged_reads_join_their_source_or_one_another(spark):
-    hurt = sub(B, 0, "ACG")
-    assert sizes(spark, [(100, B, {}), (100, B, {}), (100, hurt, {})]) == [3]
-    assert sizes(spark, [(100, hurt, {}), (101, sub(B, 0, "ACT"), {})]) == [2]
-
-
-def test_longest_and_polya_preference(spark):
-    rows = [(100, B, {"exonic_len": 450, "pt": -1}), (100, B, {"exonic_len": 400, "pt": 55})]
-    assert deduplicate(reads(spark, rows), Config()).molecules.first().rep_ordinal == 1
-    assert deduplicate(reads(spark, rows), Config(rep="longest")).molecules.first().rep_ordinal == 0
+HURT, NEAR = sub(B, 0, "ACG"), sub(B, 0, "ACGC")
+#: Reads (start, blocks, overrides) and the sizes of the molecules that they are to make.
+SCENARIOS = {
+    "three to one merges": ([(100, B, {})] * 3 + [(100, NEAR, {})], [4]),
+    "two to two does not": ([(100, B, {})] * 2 + [(100, NEAR, {})] * 2, [2, 2]),
+    "same barcode far apart": ([(100, B, {}), (105, B, {}), (5000, B, {})], [1, 2]),
+    "neighbour too far off": ([(100, B, {})] * 3 + [(400, NEAR, {})], [1, 3]),
+    "two hubs are not bridged": ([(100, B, {})] * 10 + [(100, sub(NEAR, 3, "ACGA"), {})] * 10 + [(100, NEAR, {})] * 3, [10, 13]),
+    "damaged joins its source": ([(100, B, {}), (100, B, {}), (100, HURT, {})], [3]),
+    "damaged group together": ([(100, HURT, {}), (101, sub(B, 0, "ACT"), {})], [2]),
+    "short exon bridge": ([(400, B, {"clip5": 20}), (100, B, {"end": 900, "alt_anchor": 400, "alt_exon": 30})], [2]),
+    "no bridge without a clip": ([(400, B, {"clip5": 3}), (100, B, {"end": 900, "alt_anchor": 400, "alt_exon": 30})], [1, 1]),
+    "unknown strand ignores position": ([(100, B, {"strand": "."}), (400, B, {"strand": "."})], [2]),
+}
+
+
+def test_scenarios(spark):
+    rows = [(start, blocks, {"tid": tid} | more) for tid, (case, _) in enumerate(SCENARIOS.values()) for start, blocks, more in case]
+    made: dict[int, list[int]] = {}
+    for r in deduplicate(reads(spark, rows), Config()).molecules.collect():
+        made.setdefault(r.tid, []).append(r.n_reads)
+    assert {name: sorted(made[tid]) for tid, name in enumerate(SCENARIOS)} == {name: sorted(want) for name, (_, want) in SCENARIOS.items()}
+
+
+def test_polya_outranks_length(spark):
+    molecule = reads(spark, [(100, B, {"exonic_len": 450, "pt": -1}), (100, B, {"exonic_len": 400, "pt": 55}), (100, B, {"exonic_len": 450, "pt": -1, "qs": 21.0})]).withColumns({"locus_id": F.lit(0), "seed": F.lit(1)})
+    assert representative.consensus(molecule).first().rep_ordinal == 1
+    assert representative.longest(molecule).first().rep_ordinal == 2
 
 
 def sweep(rows, tol):
