@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 4096
+#: Terms below this chi-square (p = 0.001) are taken for noise.
+MIN_CHI_SQUARE = 10.8
 FACTORS = 6
 EPOCHS = 20
 #: Weight of a toxic row in the loss: they are few.
@@ -100,7 +102,7 @@ def select_terms(docs: list[np.ndarray], y: np.ndarray, max_terms: int, min_docs
     spread = expected * (1 - toxic / total) * (1 - n / total) + 1e-9
     chi = np.where((n >= min_docs) & (n < total), (pos - expected) ** 2 / spread, 0.0)
     order = np.argsort(-chi, kind="stable")[:max_terms]
-    return np.sort(terms[order[chi[order] > 4.0]])
+    return np.sort(terms[order[chi[order] > MIN_CHI_SQUARE]])
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> Model:
