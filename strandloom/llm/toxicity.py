@@ -93,10 +93,12 @@ class Model:
 
 def select_terms(docs: list[np.ndarray], y: np.ndarray, max_terms: int, min_docs: int = 3) -> np.ndarray:
     """The terms with the largest chi-square of presence against label."""
-    flat = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
-    terms, inverse = np.unique(flat, return_inverse=True)
-    label = np.repeat(y, [len(d) for d in docs])
-    n, pos = np.bincount(inverse, minlength=len(terms)).astype(float), np.bincount(inverse, label, minlength=len(terms))
+    # Counted by sorting twice, without an inverse index: the driver holds little more than the sample itself.
+    count = lambda some: np.unique(np.concatenate([*some, np.zeros(0, np.int64)]), return_counts=True)
+    terms, n = count(docs)
+    toxic_terms, toxic_n = count([d for d, label in zip(docs, y, strict=True) if label])
+    n, pos = n.astype(float), np.zeros(len(terms))
+    pos[np.searchsorted(terms, toxic_terms)] = toxic_n
     total, toxic = float(len(y)), float(y.sum())
     expected = n * toxic / total
     spread = expected * (1 - toxic / total) * (1 - n / total) + 1e-9
