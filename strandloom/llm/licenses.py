@@ -80,14 +80,14 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, coverage: float = COVE
         "template int, size int, label string, exact boolean, keys array<array<long>>, tokens array<string>",
     )
 
-    # Follow up the templates whose rarest word the document holds, at those places only.
-    anchors = spark.createDataFrame([(rare[i], i, p) for i, ws, _, _, _ in entries for p, w in enumerate(ws) if w == rare[i]], "word string, template int, place long")
-    hits = found.filter(F.size("hits") > 0).select("row", "doc_id", "hits")
-    seeds = hits.select("row", F.explode("hits").alias("hit"), "hits").select("row", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"), "hits").join(F.broadcast(anchors), "word")
-    seeds = seeds.select("row", "template", (F.col("at") - F.col("place")).alias("start"), F.filter("hits", lambda x: (x["at"] >= F.col("at") - last) & (x["at"] <= F.col("at") + last)).alias("near"))
+    # Follow up only documents that hold the rarest word of some template, and there only what stands near such a word.
+    anchors = sorted(set(rare.values()))
+    hits = found.filter(F.exists("hits", lambda x: x["word"].isin(*anchors))).select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.word").alias("word"), F.col("hit.at").alias("at")).withColumn("part", F.floor(F.col("at") / last))
+    parts = hits.filter(F.col("word").isin(*anchors)).select("row", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part")).distinct()
+    near = hits.join(parts, ["row", "part"], "left_semi")
     # Intersection by relative position: the template's words that stand in the document where they should.
-    spread = seeds.select("row", "template", "start", F.explode("near").alias("hit")).select("row", "template", "start", F.col("hit.word").alias("word"), (F.col("hit.at") - F.col("start")).alias("place"))
-    met = spread.join(F.broadcast(postings), ["word", "template", "place"]).groupBy("row", "template", "start").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    spread = near.join(F.broadcast(postings), "word").select("row", "template", (F.col("at") - F.col("place")).alias("start"), "place")
+    met = spread.groupBy("row", "template", "start").agg(F.array_sort(F.collect_set("place")).alias("places"))
     judged = met.join(F.broadcast(meta), "template").withColumn("share", F.size("places") / F.col("size"))
     whole = F.size("places") == F.col("size")
     all_keys = F.forall("keys", lambda k: F.size(F.array_except(k, "places")) == 0)
