@@ -35,7 +35,7 @@ LITERALS = 0.6
 COVERAGE = 0.5
 RUN = 16
 BITMAP_BITS = 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Units of measure, as fixed values.
 UNITS = frozenset(
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs pound pounds ml cl dl l liter liters litre litres "
