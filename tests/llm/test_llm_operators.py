@@ -270,13 +270,13 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(6)
-    clean = [(i, prose(rng, 80)) for i in range(60)]
+    clean = [(i, prose(rng, 80)) for i in range(300)]
     item = prose(rng, 30)
-    rows = [*clean, (100, clean[0][1]), (101, clean[1][1] + " tail"), (102, prose(rng, 20) + " " + item + " " + prose(rng, 20)), (103, prose(rng, 40) + " insult insult"), (104, None), (104, None)]
-    toxic = [(200 + i, prose(rng, 40) + " insult") for i in range(40)]
+    rows = [*clean, (1000, clean[0][1]), (1001, clean[1][1] + " tail"), (1002, prose(rng, 20) + " " + item + " " + prose(rng, 20)), (1003, prose(rng, 40) + " insult vile"), (1004, None), (1004, None)]
+    toxic = [(2000 + i, prose(rng, 40) + " insult vile") for i in range(120)]
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + toxic], "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i, _ in clean] + [(i, 1, 1) for i, _ in toxic], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
-    assert sorted(kept) == [*range(60), 104]
+    assert sorted(kept) == [*range(300), 1004]
