@@ -208,6 +208,23 @@ def test_pii(spark):
     assert out[2].text == rows[2] and out[3].text is None and out[4].text == ""
 
 
+def pseudonyms(spark, rows):
+    """(text, kinds) of each row."""
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), key="k")
+    return [(r.text, r.pii_kinds) for r in out.orderBy("doc_id").collect()]
+
+
+def test_pii_phone_codes(spark):
+    shapes = ["+1 (017) 555-7713", "+1 (171) 555-2028", "(386) 155-2028", "000-000-0000", "1.199.099.1234", "+1 (386) 555-3733", "212 555 0100"]
+    got = pseudonyms(spark, [f"call {s} now" for s in shapes])
+    for s, (text, kinds) in zip(shapes, got, strict=True):
+        assert kinds == ["phone"] and s not in text and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", f"call {s} now")
+    valid = [re.search(r"[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4} ", text) is not None for text, _ in got]
+    assert valid == [False] * 5 + [True] * 2
+    many = [f"{a:03}-{b:03}-{n:04}" for a in (17, 171, 386) for b in (55, 555) for n in range(0, 10000, 25)]
+    assert len({text for text, _ in pseudonyms(spark, many)}) == len(many)
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(F.expr(pii._digits_permuted("d", 4, "t", "k")).alias("p"))
     assert df.distinct().count() == 10000
