@@ -7,7 +7,7 @@ social-security numbers stay valid ones; IPv4 addresses stay addresses; dates st
 notation they had. The permutation depends on the key and the value alone, so equal values stay linked across documents
 and different values of a kind never meet; a value out of range after a round is walked on along its cycle. E-mail
 addresses, access keys, passwords and long hexadecimal tokens, which have no number format, get keyed digests of the
-same shape. What looks like a kind but fails its validation (check digit, octets, calendar) is left as it is.
+same shape, whatever their length; a quoted value may hold blanks and ends with its line. What looks like a kind but fails its validation (check digit, octets, calendar) is left as it is.
 
 Each text is searched once by one pattern; the gaps between the matches are kept as they are and joined with the
 pseudonyms again. Defined results: null texts stay null and empty ones empty; repeated rows are treated alike; an empty
@@ -27,9 +27,9 @@ WALK_PHONE = 128
 _START, _END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 #: Kind, pattern: the first that matches at a place takes it.
 KINDS = (
-    ("credential", "(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:][ \\t]{0,3}(?:\"[^\"\\s]{6,200}\"|[^\\s\"]{6,200})"),
+    ("credential", "(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:][ \\t]{0,3}(?:\"[^\"\\r\\n]{6,}+\"|'[^'\"\\r\\n]{6,}+'[^\\s\"]*+|\"?[^\\s\"]{6,}+)"),
     ("access_key", f"{_START}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}"),
-    ("hex_token", f"{_START}(?=[0-9a-f]{{0,63}}[a-f])[0-9a-f]{{32,64}}{_END}"),
+    ("hex_token", f"{_START}(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{{32,}}+{_END}"),
     ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("date", f"{_START}(?:(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/(?:19|20)[0-9]{{2}}){_END}"),
     ("ipv4", "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\\.[0-9])"),
@@ -119,15 +119,21 @@ def _digest(kind: str, value: str, key: str) -> str:
     return f"sha2(concat({_text(key)}, ':{kind}:', {value}), 256)"
 
 
+def _as_long(digest: str, value: str) -> str:
+    """The digest, repeated to the length of ``value``."""
+    return f"substr(repeat({digest}, cast(ceil(length({value}) / 64) as int)), 1, length({value}))"
+
+
 def _pseudonym(m: str, key: str) -> str:
     value = f"regexp_extract({m}, '[=:][ \\\\t]*\"?([^\"]*)\"?$', 1)"
-    shaped = f"substr(repeat({_digest('credential', value, key)}, 4), 1, length({value}))"
+    shaped = _as_long(_digest("credential", value, key), value)
+    hexed = _as_long(_digest("hex_token", f"lower({m})", key), m)
     prefix = f"regexp_extract({m}, '^([^=:]*[=:][ \\\\t]*\"?)', 1)"
     kind = {name: _text(f"^(?:{pattern})$") for name, pattern in KINDS}
     made = {
         "credential": f"concat({prefix}, {shaped}, if({m} like '%\"', '\"', ''))",
         "access_key": f"concat(left({m}, 4), upper(substr({_digest('access_key', m, key)}, 1, 16)))",
-        "hex_token": f"substr({_digest('hex_token', m, key)}, 1, length({m}))",
+        "hex_token": f"if({m} rlike '[a-f]', {hexed}, upper({hexed}))",
         "email": f"transform(array({_digest('email', f'lower({m})', key)}), h -> concat('u', substr(h, 1, 12), '@', substr(h, 13, 8), '.invalid'))[0]",
         "date": _date(m, key), "ipv4": _ipv4(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key),
     }

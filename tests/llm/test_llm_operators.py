@@ -225,6 +225,21 @@ def test_pii_phone_codes(spark):
     assert len({text for text, _ in pseudonyms(spark, many)}) == len(many)
 
 
+@pytest.mark.parametrize("n", [300, 5000])
+def test_pii_long_secrets(spark, n):
+    rng = random.Random(n)
+    secret = "".join(rng.choice("ghijklmnopqrstuvwxyzGHIJKLMNOP") for _ in range(n))
+    blanks = " ".join(secret[i : i + 9] for i in range(0, n, 9))
+    digits = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [f"token={secret} end", f'token = "{secret}" end', f'password: "{blanks}" end', f"password: '{blanks}' end", f"key {digits} end", f"key {digits.upper()} end", f"key {digits[:96]} end", f"key {digits[:128].upper()} end", f'token="{secret} end']
+    got = pseudonyms(spark, rows)
+    for row, (text, kinds) in zip(rows, got, strict=True):
+        assert len(kinds) == 1 and len(text) == len(row) and text.endswith(" end")
+        assert not any(word in text for word in re.findall("[g-zG-P]{9,}", row) if word != "password")
+    assert all(digits[i : i + 32].lower() not in text.lower() for text, _ in got[4:8] for i in range(0, n - 32, 32))
+    assert got[5][0][4:-4] == got[4][0][4:-4].upper() and [k for _, k in got] == [["credential"]] * 4 + [["hex_token"]] * 4 + [["credential"]]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(F.expr(pii._digits_permuted("d", 4, "t", "k")).alias("p"))
     assert df.distinct().count() == 10000
