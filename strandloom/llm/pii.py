@@ -143,8 +143,8 @@ def _pseudonym(m: str, key: str) -> str:
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_column: str = "pii_kinds") -> DataFrame:
     """``docs`` with pseudonyms in ``column``, and in ``kinds_column`` the sorted kinds that were replaced, one for each place."""
     text = F.col(column).cast("string")
-    # One pass tells most texts from those that need the whole pattern.
-    some = text.rlike("[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:]")
+    # One pass tells most texts from those that need the whole pattern; each kind must pass it.
+    some = text.rlike("[0-9@]|AKIA|ASIA|[A-Fa-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:]")
     found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("_pii_found", found).withColumn("_pii_new", F.expr(f"transform(_pii_found, m -> {_pseudonym('m', key)})"))
     # Split by the same pattern: one gap more than matches.

@@ -240,6 +240,13 @@ def test_pii_long_secrets(spark, n):
     assert got[5][0][4:-4] == got[4][0][4:-4].upper() and [k for _, k in got] == [["credential"]] * 4 + [["hex_token"]] * 4 + [["credential"]]
 
 
+def test_pii_secrets_of_letters_only(spark):
+    rows = ["AKIA" + "QWERTYUIOPASDFGH", "ASIA" + "ZXCVBNMLKJHGFDSA", "abcdefabcdefabcdefabcdefabcdefabcdef", "ABCDEFABCDEFABCDEFABCDEFABCDEFABCDEF", "AKIA and ASIA alone"]
+    got = pseudonyms(spark, rows)
+    assert [k for _, k in got] == [["access_key"], ["access_key"], ["hex_token"], ["hex_token"], []]
+    assert not any(r in text for r, (text, _) in zip(rows[:4], got, strict=False)) and got[4][0] == rows[4]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(F.expr(pii._digits_permuted("d", 4, "t", "k")).alias("p"))
     assert df.distinct().count() == 10000
