@@ -4,15 +4,17 @@ Texts and benchmark items become sequences of canonical tokens: numbers, names (
 and units after a number are replaced by typed placeholders, other words are lower-cased without punctuation. Windows of
 canonical tokens with enough literal words are hashed and hash-joined with the windows of the items. A re-parameterised
 question has the same windows with other slot values; along each alignment (place in the document minus place in the
-item) the slots must be consistent: an item value goes to one document value of its type and back. A document leaks an
-item if the consistently aligned windows cover enough of the item.
+item) the slots must be consistent: an item value goes to one document value of its type. Where it goes to several, only
+the windows that show so are dropped; values that meet by chance are let pass unless most do. Where at least half of the
+numbers and names are the item's own the alignment is a copy, and what was altered in it counts for nothing. Windows
+with too few literal words are hashed with their slot values instead, and find word-for-word copies only. A document
+leaks an item if the windows found cover enough of the item, or those with enough literal words enough of such windows.
 
 Before the join a document's windows pass a bitmap of the benchmark's window hashes. Its size is fixed, whatever the
 benchmark; only windows that it lets through become rows, so the join's input is the hits and few others.
 
 Defined results: null and empty texts and items hold no windows; items with fewer tokens than a window are one window of
-their own length, those with fewer than ``MIN_TOKENS`` or too few literal words are never found; items with equal texts
-are all named; rows that repeat a doc_id are judged together; an empty benchmark finds nothing; other columns are
+their own length, those with fewer than ``MIN_TOKENS`` are never found; items with equal texts are all named; rows that repeat a doc_id are judged together; an empty benchmark finds nothing; other columns are
 ignored.
 """
 
@@ -36,6 +38,8 @@ COVERAGE = 0.5
 RUN = 16
 BITMAP_BITS = 24
 CACHE_WORDS = 150_000
+#: Sets the hashes of windows with their slot values apart.
+EXACT = 1 << 32
 #: Units of measure, as fixed values.
 UNITS = frozenset(
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs pound pounds ml cl dl l liter liters litre litres "
@@ -130,10 +134,22 @@ def windows(h: np.ndarray, slot: np.ndarray, n: int, literals: float = LITERALS)
     return at, _mix(x[at])
 
 
+def exact_windows(h: np.ndarray, slot: np.ndarray, n: int, literals: float = LITERALS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the other windows, by the words' own hashes ``h``."""
+    if len(h) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words = np.concatenate([[0], np.cumsum(slot < 0)])
+    at = np.flatnonzero(words[n:] - words[:-n] < literals * n)
+    x = np.full(len(at), n + EXACT, np.uint64)
+    for j in range(n):
+        x = x * _C + h[at + j]
+    return at, _mix(x)
+
+
 def _rows(canonical: Canonical, text: str | None, n: int, keep=None) -> Iterator[tuple[int, int, list[str], list[int]]]:
     """start, hash, slot values and slot types of a text's windows."""
     h, slot, ids = canonical(text)
-    at, x = windows(h, slot, n)
+    at, x = (np.concatenate(v) for v in zip(windows(h, slot, n), exact_windows(canonical.hash[ids], slot, n), strict=True))
     if keep is not None:
         hit = keep(x)
         at, x = at[hit], x[hit]
@@ -207,12 +223,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     met = hits.join(items.withColumnRenamed("id", "item_id"), ["hash", "size"])
     pair = F.transform(F.sequence(F.lit(0), F.size("slot_values") - 1), lambda i: F.struct(F.get("slot_types", i).alias("t"), F.get("slot_values", i).alias("iv"), F.get("doc_values", i).alias("dv")))
     pairs = F.when((F.size("slot_values") > 0) & (F.size("slot_values") == F.size("doc_values")), pair).otherwise(F.array().cast("array<struct<t:int,iv:string,dv:string>>"))
-    lined = met.groupBy("doc_id", "item_id", (F.col("doc_start") - F.col("start")).alias("line")).agg(F.collect_set("start").alias("starts"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    templates = F.col("size") - F.size("slot_values") >= F.lit(LITERALS) * F.col("size")
+    lined = met.groupBy("doc_id", "item_id", (F.col("doc_start") - F.col("start")).alias("line")).agg(F.collect_set(F.struct("start", templates.alias("template"), pairs.alias("pairs"))).alias("hits"))
+    lined = lined.withColumn("pairs", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))))
     side = lambda v: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p[v]))))
-    sound = lined.filter((side("iv") == F.size("pairs")) & (side("dv") == F.size("pairs")))
-    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("start").alias("windows"))
-    covered = sound.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("found"), F.max(F.size("starts")).alias("longest"), F.max(F.forall("pairs", lambda p: p["iv"] == p["dv"])).alias("same_slots")).join(sizes, "item_id")
-    return covered.withColumn("coverage", F.col("found") / F.col("windows")).filter((F.col("coverage") >= coverage) | (F.col("longest") >= RUN)).select("doc_id", "item_id", "coverage", "same_slots")
+    own = F.filter("pairs", lambda p: p["t"] < 2)
+    copied = 2 * F.size(F.filter(own, lambda p: p["iv"] == p["dv"])) >= F.size(own)
+    merged = 2 * side("dv") < F.size("pairs")
+    lined = lined.withColumn("whole", copied | (side("iv") == F.size("pairs")) & ~merged).withColumn("merged", merged)
+    clash = lambda p: F.exists("pairs", lambda q: (q["t"] == p["t"]) & ((q["iv"] == p["iv"]) & (q["dv"] != p["dv"]) | F.col("merged") & (q["dv"] == p["dv"]) & (q["iv"] != p["iv"])))
+    clashing = F.when(F.col("whole"), F.array().cast("array<struct<t:int,iv:string,dv:string>>")).otherwise(F.filter("pairs", lambda p: (p["iv"] != p["dv"]) & clash(p)))
+    # A window of the item's own values needs no map.
+    sound = lined.withColumn("clashing", clashing).withColumn("hits", F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], F.col("clashing")))).filter(F.size("hits") > 0)
+    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("start").alias("windows"), F.countDistinct(F.when(templates, F.col("start"))).alias("template_windows"))
+    covered = (
+        sound.withColumn("starts", F.array_distinct(F.transform("hits", lambda h: h["start"]))).withColumn("template_starts", F.array_distinct(F.transform(F.filter("hits", lambda h: h["template"]), lambda h: h["start"])))
+        .groupBy("doc_id", "item_id").agg(
+            F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("template_starts")))).alias("template_found"),
+            F.max(F.size("starts")).alias("longest"), F.max(F.forall("pairs", lambda p: p["iv"] == p["dv"])).alias("same_slots"))
+        .join(sizes, "item_id")
+    )
+    share = F.greatest(F.col("found") / F.col("windows"), F.try_divide(F.col("template_found").cast("double"), F.col("template_windows").cast("double")))
+    return covered.withColumn("coverage", share).filter((F.col("coverage") >= coverage) | (F.col("longest") >= RUN)).select("doc_id", "item_id", "coverage", "same_slots")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

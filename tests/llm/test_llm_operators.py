@@ -267,6 +267,22 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.flag(spark.createDataFrame([(1, docs[0])], "doc_id long, text string"), empty).collect())
 
 
+def test_decontamination_of_altered_copies(spark):
+    item = "Tom bought 12 apples for 30 dollars and then Mary sold 12 of them at the big market yesterday."
+    numbers = "Mix 3 kg 4 kg 5 kg 6 kg 7 kg and 8 kg then 9 kg 10 kg 11 kg 12 kg."
+    long = f"{item} They kept the rest of them in a cold cellar below the old house until it was time to leave for good"
+    changed = "Anna bought 15 apples for 31 dollars and then Zoe sold 16 of them at the big market yesterday."
+    docs = [
+        item.replace("sold 12", "sold 13"), item.replace("bought 12", "bought 13"), "Anna bought 15 apples for 15 dollars and then Zoe sold 15 of them at the big market yesterday.",
+        long.replace(item, changed), f"Before it. {numbers} After it.", numbers.replace(" ", " 1"), changed,
+    ]
+    items = spark.createDataFrame([(1, item), (2, long), (3, numbers)], "item_id long, text string")
+    got = decontaminate.flag(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).orderBy("doc_id").collect()
+    assert [1 in r.item_ids for r in got] == [True, True, True, False, False, False, False]
+    assert [2 in r.item_ids for r in got][3] and [3 in r.item_ids for r in got] == [i == 4 for i in range(7)]
+    assert got[4].coverage == 1.0 and not got[4].reparameterised and got[0].reparameterised
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><a href='/a'>menu</a></nav><div class='ad'>buy</div>{body}<footer>f &copy;</footer></body></html>"
 
