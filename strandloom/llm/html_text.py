@@ -32,46 +32,83 @@ RAW = frozenset("script style textarea title noscript template iframe xmp nofram
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tr td th ul".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr caption figcaption summary".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math select button textarea canvas object embed dialog menu".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg select button textarea canvas object embed dialog menu".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer "
     "cookie cookies consent gdpr notice notices alert comment comments respond reply disqus share sharing social related recommended newsletter subscribe subscription signup login "
     "popup modal overlay pagination pager toolbar widget skip masthead topbar".split()
 )
+#: As a whole class or id: what readers wrote, which may be longer than the page.
+READER_WORDS = frozenset("comment comments respond reply disqus disqus_thread".split())
 HEADER_WORDS = frozenset("header".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRS = frozenset("class id role hidden aria-hidden".split())
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "link", "leaf")
+    """``dropped``: never text. ``doubt``: elements from here up that go by their words or place, unless they hold the page."""
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, link: bool, leaf: bool):
-        self.tag, self.path, self.parent, self.dropped, self.link, self.leaf = tag, path, parent, dropped, link, leaf
+    __slots__ = ("tag", "path", "parent", "dropped", "doubt", "readers", "link", "leaf")
+
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, doubt: tuple[Node, ...], link: bool, leaf: bool):
+        self.tag, self.path, self.parent, self.dropped, self.doubt, self.readers, self.link, self.leaf = tag, path, parent, dropped, doubt, False, link, leaf
 
 
 def _node(tag: str, attributes: str, parent: Node) -> Node:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)} if attributes.strip() else {}
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes) if m[1].lower() in _ATTRS} if attributes.strip() else {}
     classes = sorted({_DIGITS.sub("", c) for c in found.get("class", "").split()} - {""})
     words = set(_SPLIT.split(_CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").lower())) if found else set()
     within = parent
     while within is not None and within.tag not in ("article", "main"):
         within = within.parent
     structural = tag not in ("html", "body", "main", "article")
-    dropped = parent.dropped or tag in DROPPED or structural and bool(words & DROPPED_WORDS or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true")
-    dropped = dropped or within is None and structural and (tag == "header" or bool(words & HEADER_WORDS) and tag not in ("h1", "h2", "h3"))
+    dropped = parent.dropped or tag in DROPPED or structural and ("hidden" in found or found.get("aria-hidden") == "true")
+    doubtful = structural and bool(words & DROPPED_WORDS or found.get("role", "").lower() in DROPPED_ROLES)
+    doubtful = doubtful or within is None and structural and (tag == "header" or bool(words & HEADER_WORDS) and tag not in ("h1", "h2", "h3"))
     inline = tag in INLINE
     path = parent.path if inline else f"{parent.path}/{tag}{''.join('.' + c for c in classes)}"
-    return Node(tag, path, parent, dropped, parent.link or tag == "a", parent.leaf or tag in LEAVES)
+    node = Node(tag, path, parent, dropped, parent.doubt, parent.link or tag == "a", parent.leaf or tag in LEAVES)
+    if doubtful and inline:
+        node.dropped = True
+    elif doubtful:
+        node.doubt = (*parent.doubt, node)
+        node.readers = not READER_WORDS.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    return node
+
+
+def _undropped(found: list[tuple[str, int, Node]], holders: set[Node]) -> list[tuple[str, int, Node]]:
+    """The blocks that no doubtful element drops: one that holds an article or main (``holders``), or most of the text
+    of a page without them, drops nothing; where no block is left all stay."""
+    held: dict[Node, int] = {}
+    total = 0
+    for text, links, block in found:
+        total += len(text) - min(links, len(text))
+        for node in block.doubt:
+            held[node] = held.get(node, 0) + len(text) - min(links, len(text))
+    if not held:
+        return found
+    spared = set(holders)
+    # A page with an article has its text there, and comments may well be longer.
+    if not any(b.tag in ("article", "main") for _, _, block in found for b in _above(block)):
+        spared |= {node for node, n in held.items() if 2 * n > total and not node.readers}
+    return [x for x in found if all(node in spared for node in x[2].doubt)] or found
+
+
+def _above(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def blocks(page: str) -> list[tuple[str, int, Node]]:
     """(text, characters that are link text, nearest element that is not inline) of each block in page order."""
-    root = Node("", "", None, False, False, False)
+    root = Node("", "", None, False, (), False, False)
+    holders: set[Node] = set()
     now, out, parts, links, at = root, [], [], 0, 0
     n = len(page)
 
@@ -138,8 +175,12 @@ def blocks(page: str) -> list[tuple[str, int, Node]]:
                 up = up.parent
             now = stop
         now = _node(tag, m[3], now)
+        if tag in ("article", "main") and now.doubt and not now.dropped:
+            # Teasers and comments may be articles of an article; those tell nothing of what is around them.
+            outer = next((x for x in _above(now.parent) if x.tag in ("article", "main")), None)
+            holders.update(set(now.doubt) - {now} if outer is None else ())
     cut()
-    return out
+    return _undropped(out, holders)
 
 
 def container(node: Node) -> Node:

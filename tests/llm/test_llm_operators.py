@@ -296,6 +296,22 @@ def test_html_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def main_text(body):
+    return html_text.extract(html_text.blocks(page(body)), (html_text.best_path(html_text.blocks(page(body))) or (None,))[0])
+
+
+def test_html_dropped_elements():
+    text = "A paragraph that is long enough to count as text of the page, and more."
+    kept = ["<div style='overflow:hidden'>{}</div>", "<p data-hidden='false'>{}</p>", "<div title='a hidden id'>{}</div>", "<div class='content has-sidebar'><article>{}</article></div>", "<div class='layout with-comments'><p>{}</p></div>", "<div class='widget'><main><p>{}</p></main></div>"]
+    for body in kept:
+        assert main_text(body.format(text)) == text, body
+    assert main_text("<article><p>See <a href='/hidden-path'>these words</a> of a long line of text, and go on.</p></article>") == "See these words of a long line of text, and go on."
+    assert "E = mc" in main_text(f"<article><p>{text} <math><mi>E = mc</mi></math></p></article>")
+    assert html_text.extract(html_text.blocks(f"<body><div class='comments'><p>{text}</p></div></body>"), None) == text
+    for gone in ("<div hidden>{}</div>", "<div aria-hidden=true>{}</div>", "<div class='comments'><p>{}</p></div>", "<div id=comments><p>{}</p></div>"):
+        assert main_text(f"<div><p>{text}</p></div>" + gone.format("other words " * 30)) == text, gone
+
+
 def test_warc_round_trip(spark):
     long = "<html>" + "é" * 200
     rows = [(5, "http://www.b.example/x?q=1#f", long), (3, "http://b.example/x?q=1", long), (9, "http://a.example/", long), (1, None, "short"), (2, "http://c.example/\n", "short"), (4, "http://c.example", None), (6, "http://d.example", "")]
