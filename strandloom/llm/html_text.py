@@ -3,8 +3,8 @@
 A page is cut into text blocks, each below a chain of elements. An element's path is its chain of tags with generalised
 classes (digits dropped, sorted). Every page scores its containers (text that is not link text, given to the nearest
 container and in part to the one above) and votes for the path of the best one; the votes are summed per host in Spark
-and the path with the most votes wins. Pages are then extracted again: all containers with the host's winning path if
-the page has any, else the page's own best one, without menus, headers, footers, sidebars, notices, adverts, forms,
+and the path with the most votes wins. Pages are then extracted again: the articles around all containers with the host's
+winning path if the page has any, else around the page's own best one, without menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments inside. Votes are (host, path) sums, so a host with a third of all pages is a few rows.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null or broken url votes under an
@@ -211,20 +211,40 @@ def best_path(found: list[tuple[str, int, Node]]) -> tuple[str, float] | None:
     return nodes[key].path, scores[key]
 
 
+def _whole(node: Node, held: dict[Node, tuple[int, int]]) -> Node:
+    """The enclosing article or main; without one the highest element below the body that adds no more link text than text."""
+    for up in _above(node):
+        if up.tag in ("article", "main"):
+            return up
+    best = node
+    for up in _above(node.parent):
+        if up.tag in ("", "html", "body"):
+            break
+        if up.tag not in INLINE:
+            text, links = (x - y for x, y in zip(held[up], held[best], strict=True))
+            if 2 * links > text:
+                break
+            best = up
+    return best
+
+
 def extract(found: list[tuple[str, int, Node]], path: str | None) -> str:
-    """The blocks below containers with ``path``, joined; the page's own best path where it has none."""
-    def below(node: Node | None) -> bool:
-        while node is not None:
-            if node.path == path and node.tag not in INLINE:
-                return True
-            node = node.parent
-        return False
-
-    kept = [t for t, _, b in found if below(b)] if path else []
+    """The blocks of the articles around containers with ``path``, joined; the page's own best path where it has none."""
+    def below(path: str) -> list[str]:
+        won = {node for _, _, b in found for node in _above(b) if node.path == path and node.tag not in INLINE}
+        held: dict[Node, tuple[int, int]] = {}
+        for t, n, b in found:
+            for node in _above(b):
+                text, links = held.get(node, (0, 0))
+                held[node] = text + len(t), links + min(n, len(t))
+        roots = {_whole(node, held) for node in won}
+        return [t for t, _, b in found if any(node in roots for node in _above(b))]
+
+    kept = below(path) if path else []
     if not kept and found:
         own = best_path(found)
         path = own[0] if own else None
-        kept = [t for t, _, b in found if path is None or below(b)]
+        kept = [t for t, _, _ in found] if path is None else below(path)
     return "\n\n".join(kept)
 
 

@@ -312,6 +312,15 @@ def test_html_dropped_elements():
         assert main_text(f"<div><p>{text}</p></div>" + gone.format("other words " * 30)) == text, gone
 
 
+def test_html_nested_bodies():
+    body = "".join(f"<p>Paragraph {i} of the body, which is long enough to outweigh all that stands beside it.</p>" for i in range(12))
+    for outer in ("article", "main", "div"):
+        got = main_text(f"<{outer} class='post'><header class='top'><h1>Title</h1></header><p>lead</p><div class='body'>{body}</div><section class='second'><p>Second part.</p></section></{outer}>".replace("<header class='top'>", "<header class='top'>" if outer != "div" else "<div>").replace("</header>", "</header>" if outer != "div" else "</div>"))
+        assert got.startswith("Title\n\nlead\n\nParagraph 0") and got.endswith("Second part.")
+    got = main_text(f"<div id='w'><div class='list'><a href='/1'>one more</a><a href='/2'>another one</a></div><div class='body'>{body}</div></div>")
+    assert got.startswith("Paragraph 0") and "another" not in got
+
+
 def test_warc_round_trip(spark):
     long = "<html>" + "é" * 200
     rows = [(5, "http://www.b.example/x?q=1#f", long), (3, "http://b.example/x?q=1", long), (9, "http://a.example/", long), (1, None, "short"), (2, "http://c.example/\n", "short"), (4, "http://c.example", None), (6, "http://d.example", "")]
