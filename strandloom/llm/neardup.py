@@ -8,14 +8,18 @@ Candidates are stars: every member of a bucket is paired with the bucket's small
 pairs. Links are confirmed on the full sets (100 * intersection >= threshold * union) in three steps, and components
 are taken after each: each document with the star centre it shares most buckets with; the other star pairs whose ends
 are still apart; and, so that no link is lost to a centre that is like neither of two documents, documents of a bucket
-whose components are still apart are compared with one another, in large buckets block by block. Nothing is capped or
-sampled. At similarity 0.8 a pair
-shares no bucket with a probability of (1 - 0.8^5)^36 < 1e-6.
-
-Defined results: texts that are null, empty or without words have an empty set and stand alone; fewer words than a
-shingle make one shingle of the whole sequence; a null ``doc_id`` stands alone with a null component and is kept; rows
-that repeat an id count as one document (the sets of all its rows can link it) and are all returned; an empty table
-gives no rows; other columns are ignored.
+whose components are still apart are compared with one another. Large buckets are dealt anew by rare shingles for that:
+of two sets at the threshold, the rarest ``n - ceil(threshold * n) + 1`` shingles of each meet in one at least, so what
+makes a bucket large, a passage that many texts hold, no longer brings them together; where even such a group is large
+it is compared block by block. Nothing is capped or sampled. At similarity 0.8 a pair shares no bucket with a
+probability of (1 - 0.8^5)^36 < 1e-6.
+
+Classes are nodes with numbers of their own; the smallest ids come in at the end. Rows that repeat an id count as one
+document: each of their sets is a class, all these classes are linked, and all rows are returned.
+
+Defined results: texts that are null, empty or without words have an empty set, stand alone under their own id and link
+nothing; fewer words than a shingle make one shingle of the whole sequence; a null ``doc_id`` stands alone with a null
+component and is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from .common import staged
 BANDS = 36
 ROWS = 5
 THRESHOLD = 80
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Ids of this number at most are broadcast to pick the candidates' texts; above it the join is shuffled.
 BROADCAST_IDS = 500_000
 #: Buckets from this size on are compared block by block; a block holds about so many documents.
@@ -115,6 +119,10 @@ class Sketch:
         return key.view(np.int64)
 
 
+def set_digest(shingles: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the set; null if empty), keys: a row per row of ``docs``."""
 
@@ -125,13 +133,31 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for text in batch.column(1):
                 s = shingler(text.as_py())
                 n.append(len(s))
-                digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+                digests.append(set_digest(s))
                 keys.append(sketch.keys(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key string, keys array<long>")
 
 
+def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
+    """class_id, text for the classes ``wanted`` (class_id, rep, set_key): one of the texts that have the class's set.
+
+    A representative's id leads to its text; where rows repeat that id with other sets, the text's own set decides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            right = [not again or set_key == set_digest(shingler(text.as_py())) for again, set_key, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["class_id", "text"]).filter(pa.array(right, pa.bool_()))
+
+    marked = wanted.join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", "set_key", F.coalesce("again", F.lit(False)).alias("again"))
+    marked = staged(marked, "wanted-texts")
+    known = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
+    return docs.join(known, "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(run, "class_id long, text string").dropDuplicates(["class_id"])
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that are links by their full sets."""
 
@@ -156,8 +182,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
                 keep.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    left = pairs.join(texts.withColumnsRenamed({"class_id": "a", "text": "text_a"}), "a")
+    both = left.join(texts.withColumnsRenamed({"class_id": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
@@ -191,7 +217,7 @@ def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: i
             m[row[lo:hi], column[lo:hi] - at] = 1.0
             both += m @ m.T
         both = both.astype(np.int64)
-        linked = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+        linked = (both > 0) & (100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both))
         linked &= comp[:, None] != comp[None, :]
         top = {c: c for c in comp.tolist()}
 
@@ -208,8 +234,7 @@ def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: i
                 out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    ids = buckets.select(F.col("class_id").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingled, "class_id long, shingles binary")
+    sets = texts.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text").mapInArrow(shingled, "class_id long, shingles binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -258,12 +283,39 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
+def rare_buckets(buckets: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(key, class_id, n, component) of large buckets' documents by their rare shingles, where several components meet.
+
+    Shingles are ordered by the number of these documents that hold them; those of one document alone take places in
+    its prefix but make no group.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["class_id", "shingles"])
+
+    nodes = staged(buckets.select("class_id", "n", "component").distinct(), "large-members")
+    sets = staged(texts.join(nodes, "class_id", "left_semi").select("class_id", "text").mapInArrow(shingled, "class_id long, shingles array<long>"), "large-sets")
+    held = sets.select("class_id", F.explode("shingles").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = held.join(common, "key").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    places = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("shared"))
+    prefix = shared.join(nodes, "class_id").filter(places > 0).withColumn("key", F.explode(F.slice("shared", F.lit(1), places.cast("int"))))
+    rows = staged(prefix.select(F.col("key.key").alias("key"), "class_id", "n", "component"), "rare-shingles")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    return rows.join(mixed, "key")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(sketches(docs, words, bands, rows), "sketches")
     sets = found.filter("doc_id is not null and set_key is not null")
-    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    grouped = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    # Written once, so the numbers stay what they are.
+    classes = staged(grouped.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    repeated = staged(sets.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo < hi").select("doc_id"), "repeated-ids")
 
     # Buckets of distinct sets; those with one member go.
     spread = classes.select("class_id", "n", F.explode("keys").alias("key"))
@@ -274,13 +326,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
         members.filter("class_id <> centre").groupBy(F.col("class_id").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("centre_n").alias("m")).filter(alike(F.col("n"), F.col("m"))).select("a", "b", "shared"),
         "stars",
     )
-    ids = staged(members.select(F.col("class_id").alias("doc_id")).distinct(), "candidates")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # Rows that repeat an id with other texts are told apart by their sets; the first set by key speaks for the id here.
-    texts = staged(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
+    ids = members.select("class_id").distinct()
+    texts = staged(class_texts(docs, staged(classes.select("class_id", "rep", "set_key").join(ids, "class_id", "left_semi"), "candidates"), repeated, words), "candidate-texts")
 
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    labels = _merged(None, staged(confirmed(best, texts, words, threshold), "confirmed"))
+    of_repeated = sets.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "class_id")
+    same_id = of_repeated.join(of_repeated.groupBy("doc_id").agg(F.min("class_id").alias("b")), "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
+    labels = _merged(None, staged(confirmed(best, texts, words, threshold).union(same_id), "confirmed"))
     rest = _labelled(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).filter("ca <> cb").select("a", "b")
     labels = _merged(labels, staged(confirmed(rest, texts, words, threshold), "confirmed"))
 
@@ -288,13 +340,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     placed = members.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
     apart = staged(placed.join(mixed, "key"), "mixed-buckets")
-    few = apart.filter(F.col("size") < LARGE)
-    x, y = few.select("key", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), few.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = confirmed(pairs, texts, words, threshold).union(linked_blocks(apart.filter(F.col("size") >= LARGE), texts, words, threshold))
+    rare = staged(rare_buckets(apart.filter(F.col("size") >= LARGE), texts, words, threshold), "rare-buckets")
+
+    def met(buckets: DataFrame) -> DataFrame:
+        x, y = buckets.select("key", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), buckets.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        return x.join(y, "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b")
+
+    pairs = met(apart.filter(F.col("size") < LARGE)).union(met(rare.filter(F.col("size") < LARGE))).distinct().join(stars, ["a", "b"], "left_anti")
+    links = confirmed(pairs, texts, words, threshold).union(linked_blocks(rare.filter(F.col("size") >= LARGE), texts, words, threshold))
     labels = _merged(labels, staged(links, "confirmed"))
 
-    of_class = classes.select("set_key", "class_id").join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component"))
-    # A document that repeats its id under several sets joins the components of them all.
-    out = found.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")) | F.col("doc_id").isNull())
+    placed = classes.select("set_key", "rep", "class_id").join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("set_key", "rep", F.coalesce("component", "class_id").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = placed.join(smallest, "component").select("set_key", "component_id")
+    out = found.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

@@ -100,6 +100,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, sequence_le
                 starts = total + np.cumsum(sizes) - sizes
                 out.docs.write_batch(pa.record_batch([some.column(0).cast(pa.int64()), pa.array(starts), pa.array(sizes)], schema=DOCS))
                 n_docs, total = n_docs + len(ids), total + int(sizes.sum())
+        enc.forget()
         if out:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "stem": [out.close()], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 

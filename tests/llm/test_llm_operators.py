@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -80,7 +81,21 @@ def test_packing(spark, docs, encoded):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(sequences) <= -(-sum(map(len, encoded)) // 256) + 2
+    # Sequential best fit, longest first, is the reference; pieces over half a sequence each need one of their own.
+    lengths = Counter(r.length for r in rows)
+    assert len(sequences) <= best_fit_decreasing(lengths, 256)
+    assert len(sequences) >= max(-(-sum(map(len, encoded)) // 256), sum(n for length, n in lengths.items() if 2 * length > 256))
+
+
+def best_fit_decreasing(lengths, size):
+    """Sequences that sequential best fit opens for so many pieces of each length."""
+    rooms: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        for _ in range(lengths[length]):
+            at = bisect.bisect_left(rooms, length)
+            room = rooms.pop(at) if at < len(rooms) else size
+            bisect.insort(rooms, room - length)
+    return len(rooms)
 
 
 def test_packing_plan_is_close_to_the_bound():
@@ -137,6 +152,19 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
     assert [r.component_id for r in got] == brute_components(sets)
 
 
+def test_rows_that_repeat_an_id_link_by_all_their_sets(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 40).split() for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (5, near(a)), (5, near(b)), (6, " ".join(c)), (7, near(c)), (7, None), (8, ""), (None, " ".join(a)), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (6, 6, True), (7, 6, False), (7, 7, True), (8, 8, True)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+    # The classes of one id whose sets are like nothing else are linked too.
+    got = neardup.near_duplicates(spark.createDataFrame([(3, " ".join(a)), (3, " ".join(b)), (4, near(b))], "doc_id long, text string"), words=2).collect()
+    assert {r.component_id for r in got} == {3}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.3, (300, 8)).astype("float32")
