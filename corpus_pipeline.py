@@ -32,14 +32,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays (five-word shingles, similarity 0.8); repeated ids stay once."""
+    """The document with the smallest id of each group stays (five-word shingles, similarity 0.8).
+
+    Rows that repeat an id are one document: they stay or go together, and of those with equal texts one stays.
+    Null ids and texts without words belong to no group and stay.
+    """
     found = staged(neardup.near_duplicates(docs, words=5).select("doc_id", "kept"), "near-duplicates")
     kept = _without(docs, found.filter(~F.col("kept")))
-    again = staged(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "repeated-ids")
+    again = staged(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if not again.take(1):
         return kept
     repeated = kept.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id").cast("long") == F.col("_again"), "left_semi")
-    return _without(kept, again).union(repeated.dropDuplicates(["doc_id"]))
+    return _without(kept, again).union(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
