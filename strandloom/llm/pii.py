@@ -1,13 +1,16 @@
 """Format-preserving pseudonyms for personal data and secrets, by DataFrame functions only.
 
 Validated numbers and dates are permuted by a keyed Feistel network within their format: card numbers keep length,
-separators and a right check digit; phone numbers keep country code and separators, and area and exchange codes stay
-valid where they are and invalid where they are not (any three digits count as one);
+separators, the two digits of their issuer and a right check digit; phone numbers keep country code and separators, and
+North American area and exchange codes stay valid where they are and invalid where they are not (any three digits count
+as one); account numbers (IBAN) keep country, letters and right check digits;
 social-security numbers stay valid ones; IPv4 addresses stay addresses; dates stay dates between 1900 and 2099 in the
 notation they had. The permutation depends on the key and the value alone, so equal values stay linked across documents
 and different values of a kind never meet; a value out of range after a round is walked on along its cycle. E-mail
 addresses, access keys, passwords and long hexadecimal tokens, which have no number format, get keyed digests of the
-same shape, whatever their length; a quoted value may hold blanks and ends with its line. What looks like a kind but fails its validation (check digit, octets, calendar) is left as it is.
+same shape, whatever their length; a quoted value may hold blanks and ends with its line. After "secret:" or "token:" a
+bare value counts only if it holds a digit or a sign, as prose has words there. What looks like a kind but fails its
+validation (check digit, issuer, octets, calendar) is left as it is.
 
 Each text is searched once by one pattern; the gaps between the matches are kept as they are and joined with the
 pseudonyms again. Defined results: null texts stay null and empty ones empty; repeated rows are treated alike; an empty
@@ -25,18 +28,24 @@ WALK = 24
 #: For phone numbers with an invalid code, a bit over a third of all: 0.64 ** 128 are not through.
 WALK_PHONE = 128
 _START, _END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
-#: Kind, pattern: the first that matches at a place takes it.
+_VALUE = "(?:\"[^\"\\r\\n]{6,}+\"|'[^'\"\\r\\n]{6,}+'[^\\s\"]*+|\"?[^\\s\"]{6,}+)"
+#: Kind, pattern: the first that matches at a place takes it. Runs without an upper bound are possessive: no text is slow.
 KINDS = (
-    ("credential", "(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:][ \\t]{0,3}(?:\"[^\"\\r\\n]{6,}+\"|'[^'\"\\r\\n]{6,}+'[^\\s\"]*+|\"?[^\\s\"]{6,}+)"),
+    ("credential", f"(?i:(?:password|passwd|pwd|api[_-]?key)[ \\t]{{0,3}}[=:]|(?:secret|token)[ \\t]{{0,3}}(?:=|:(?=[ \\t]{{0,3}}(?:[\"']|[A-Za-z]*+[^\\sA-Za-z.,;:!?)]))))[ \\t]{{0,3}}{_VALUE}"),
     ("access_key", f"{_START}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}"),
     ("hex_token", f"{_START}(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{{32,}}+{_END}"),
-    ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"),
+    ("iban", f"{_START}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}+|(?: [A-Z0-9]{{4}}){{2,7}}+(?: [A-Z0-9]{{1,3}})?){_END}"),
     ("date", f"{_START}(?:(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/(?:19|20)[0-9]{{2}}){_END}"),
     ("ipv4", "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\\.[0-9])"),
     ("ssn", f"{_START}(?<!-)[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?!-){_END}"),
     ("phone", f"(?<![0-9A-Za-z+])(?:\\+?1[ .-]?)?(?:\\([0-9]{{3}}\\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_END}"),
+    ("world_phone", f"(?<![0-9A-Za-z+])\\+[1-9](?:[ .-]?\\(?[0-9]\\)?){{7,14}}+{_END}"),
     ("card", f"{_START}(?:[0-9]{{4}}(?: [0-9]{{4}}){{3}}|[0-9]{{4}}(?:-[0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}|[0-9]{{13,19}}){_END}"),
 )
+# Country codes of telephone numbers with one or two digits (all others have three); first digits of cards.
+COUNTRY_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+ISSUERS = "2[2-7]|3[0-9]|4[0-9]|5[0-9]|6[0-9]"
 PATTERN = "|".join(p for _, p in KINDS)
 
 
@@ -62,6 +71,13 @@ def _digits_permuted(digits: str, n: int, tweak: str, key: str) -> str:
     return f"transform(array({s}), r -> concat(lpad(cast(r.a as string), {u}, '0'), lpad(cast(r.b as string), {v}, '0')))[0]"
 
 
+def _any_digits_permuted(digits: str, tweak: str, key: str) -> str:
+    """A permutation of the strings of as many digits as ``digits`` has (2 to 30), of its own for each number of them."""
+    half, rest = "(length(y) div 2)", "(length(y) - length(y) div 2)"
+    s = _feistel(f"substr(y, 1, {half})", f"substr(y, {half} + 1)", f"pow(10, {half})", f"pow(10, {rest})", f"{tweak}', cast(length(y) as string), '", key)
+    return f"transform(array({digits}), y -> transform(array({s}), r -> concat(lpad(cast(r.a as string), {half}, '0'), lpad(cast(r.b as string), {rest}, '0')))[0])[0]"
+
+
 def _refill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced one after another."""
     return f"aggregate(split({shape}, ''), named_struct('o', '', 'k', 1), (z, c) -> if(c rlike '^[0-9]$', named_struct('o', concat(z.o, substr({digits}, z.k, 1)), 'k', z.k + 1), named_struct('o', concat(z.o, c), 'k', z.k)), z -> z.o)"
@@ -75,10 +91,26 @@ def _luhn(digits: str) -> str:
 
 def _card(m: str, key: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-    cases = " ".join(f"when {n} then {_digits_permuted('d', n - 1, f'card{n}', key)}" for n in range(13, 20))
-    body = f"transform(array({digits}), d -> case length(d) {cases} end)[0]"
+    body = f"transform(array({digits}), d -> concat(left(d, 2), {_any_digits_permuted('substr(d, 3, length(d) - 3)', 'card', key)}))[0]"
     full = f"transform(array({body}), q -> concat(q, cast((10 - {_luhn('concat(q, chr(48))')}) % 10 as string)))[0]"
-    return f"if({_luhn(f'{digits}')} = 0 and {digits} rlike '[1-9]', {_refill(m, full)}, {m})"
+    return f"if({_luhn(f'{digits}')} = 0 and {digits} rlike '^(?:{ISSUERS})', {_refill(m, full)}, {m})"
+
+
+def _mod97(value: str) -> str:
+    """``value`` modulo 97, with letters as the numbers from 10."""
+    return f"aggregate(split({value}, ''), 0, (t, c) -> if(c rlike '^[A-Z]$', t * 100 + ascii(c) - 55, t * 10 + cast(c as int)) % 97)"
+
+
+def _iban(m: str, key: str) -> str:
+    """Country and letters stay, digits after the check digits are permuted, and the check digits follow from them."""
+    plain = f"regexp_replace({m}, ' ', '')"
+    digits = "regexp_replace(substr(w, 5), '[^0-9]', '')"
+    body = f"transform(array(w), w -> {_refill('substr(w, 5)', _any_digits_permuted(digits, 'iban', key))})[0]"
+    check = f"lpad(cast(98 - {_mod97('concat(q, left(w, 2), chr(48), chr(48))')} as string), 2, '0')"
+    made = f"transform(array({body}), q -> concat(left(w, 2), {check}, q))[0]"
+    spaced = f"aggregate(split({m}, ''), named_struct('o', '', 'k', 1), (z, c) -> if(c = ' ', named_struct('o', concat(z.o, c), 'k', z.k), named_struct('o', concat(z.o, substr(v, z.k, 1)), 'k', z.k + 1)), z -> z.o)"
+    valid = f"{_mod97('concat(substr(w, 5), left(w, 4))')} = 1 and length({digits}) >= 6"
+    return f"transform(array({plain}), w -> if({valid}, transform(array({made}), v -> {spaced})[0], {m}))[0]"
 
 
 def _phone(m: str, key: str) -> str:
@@ -89,6 +121,14 @@ def _phone(m: str, key: str) -> str:
     return _refill(m, f"concat(left(regexp_replace({m}, '[^0-9]', ''), length(regexp_replace({m}, '[^0-9]', '')) - 10), {body})")
 
 
+def _world_phone(m: str, key: str) -> str:
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    code = f"regexp_extract(d, '^({COUNTRY_CODES})', 1)"
+    body = _any_digits_permuted("substr(d, length(h) + 1)", "phone', h, '", key)
+    made = f"transform(array({digits}), d -> transform(array({code}), h -> concat(h, {body}))[0])[0]"
+    return f"if(length({digits}) between 8 and 15, {_refill(m, made)}, {m})"
+
+
 def _ssn(m: str, key: str) -> str:
     valid = "rlike '^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$'"
     digits = f"regexp_replace({m}, '-', '')"
@@ -135,9 +175,9 @@ def _pseudonym(m: str, key: str) -> str:
         "access_key": f"concat(left({m}, 4), upper(substr({_digest('access_key', m, key)}, 1, 16)))",
         "hex_token": f"if({m} rlike '[a-f]', {hexed}, upper({hexed}))",
         "email": f"transform(array({_digest('email', f'lower({m})', key)}), h -> concat('u', substr(h, 1, 12), '@', substr(h, 13, 8), '.invalid'))[0]",
-        "date": _date(m, key), "ipv4": _ipv4(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key),
+        "date": _date(m, key), "ipv4": _ipv4(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "world_phone": _world_phone(m, key), "card": _card(m, key), "iban": _iban(m, key),
     }
-    return "case " + " ".join(f"when {m} rlike {kind[k]} then named_struct('kind', '{k}', 'text', {made[k]})" for k, _ in KINDS) + f" else named_struct('kind', 'none', 'text', {m}) end"
+    return "case " + " ".join(f"when {m} rlike {kind[k]} then named_struct('kind', '{k.removeprefix('world_')}', 'text', {made[k]})" for k, _ in KINDS) + f" else named_struct('kind', 'none', 'text', {m}) end"
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_column: str = "pii_kinds") -> DataFrame:
@@ -146,10 +186,19 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_co
     # One pass tells most texts from those that need the whole pattern; each kind must pass it.
     some = text.rlike("[0-9@]|AKIA|ASIA|[A-Fa-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:]")
     found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_pii_found", found).withColumn("_pii_new", F.expr(f"transform(_pii_found, m -> {_pseudonym('m', key)})"))
+    found_name, new_name = (_free(f"_pii_{x}", docs.columns) for x in ("found", "new"))
+    out = docs.withColumn(found_name, found).withColumn(new_name, F.expr(f"transform(`{found_name}`, m -> {_pseudonym('m', key)})"))
     # Split by the same pattern: one gap more than matches.
     gaps = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform("_pii_new", lambda x: x["text"]), F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
-    changed = F.filter(F.arrays_zip(F.col("_pii_new").alias("n"), F.col("_pii_found").alias("f")), lambda x: x["n"]["text"] != x["f"])
-    kinds = F.array_sort(F.transform(changed, lambda x: x["n"]["kind"]))
-    return out.withColumn("_pii_text", F.when(F.size("_pii_found") > 0, joined).otherwise(text)).withColumn(kinds_column, F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(column, F.col("_pii_text")).drop("_pii_found", "_pii_new", "_pii_text")
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(F.col(new_name), lambda x: x["text"]), F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
+    changed = F.filter(F.zip_with(F.col(new_name), F.col(found_name), lambda n, f: F.struct(n["kind"].alias("kind"), (n["text"] != f).alias("changed"))), lambda x: x["changed"])
+    kinds = F.array_sort(F.transform(changed, lambda x: x["kind"]))
+    made = {column: F.when(F.size(found_name) > 0, joined).otherwise(text), kinds_column: F.coalesce(kinds, F.array().cast("array<string>"))}
+    return out.select(*[F.col(f"`{c}`") if c not in made else made[c].alias(c) for c in docs.columns], *[v.alias(c) for c, v in made.items() if c not in docs.columns])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name`` with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

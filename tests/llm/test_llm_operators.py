@@ -275,6 +275,57 @@ def test_pii_secrets_of_letters_only(spark):
     assert not any(r in text for r, (text, _) in zip(rows[:4], got, strict=False)) and got[4][0] == rows[4]
 
 
+def mod97(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_pii_account_numbers_and_world_phones(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+    phones = ["+44 20 7946 0958", "+49 30 901820", "+33 1 42 68 53 00", "+13865553733", "+852-2345-6789"]
+    left = ["GB82 WEST 1234 5698 7654 33", "+44 12", "The secret: patience and more", "token: about words"]
+    got = pseudonyms(spark, [f"see {x} there" for x in [*ibans, *phones, *left]])
+    for x, (text, kinds) in zip([*ibans, *phones], got, strict=False):
+        new = text[4:-6]
+        assert kinds == ["iban" if x in ibans else "phone"] and new != x and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", x)
+    assert [mod97(t[4:-6]) for t, _ in got[:3]] == [1, 1, 1]
+    assert [t[4:7] for t, _ in got[3:8]] == ["+44", "+49", "+33", "+13"[:2] + got[6][0][6], "+85"] and got[6][0][4:6] == "+1" and got[7][0][4:8] == "+852"
+    assert [t[4:-6] for t, _ in got[8:]] == left
+    many = [f"+44 20 {n:08}" for n in range(0, 4000)]
+    assert len({t for t, _ in pseudonyms(spark, many)}) == len(many)
+
+
+def test_pii_cards_need_an_issuer(spark):
+    def card(body):
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    known, other = [card(b) for b in ("404189497460879", "51051051051051", "37144963539843", "622202101010101012")], [card("104189497460879"), card("9041894974608")]
+    got = pseudonyms(spark, [f"no {x}." for x in [*known, *other]])
+    for x, (text, kinds) in zip(known, got, strict=False):
+        assert kinds == ["card"] and text[3:5] == x[:2] and luhn(text[3:-1]) and len(text) == len(x) + 4 and text[3:-1] != x
+    assert [t[3:-1] for t, _ in got[4:]] == other
+
+
+def test_pii_keeps_clashing_columns_and_long_texts(spark):
+    long = "plain words " * 40000 + "mail " + "q" * 300 + "@" + ".".join(["sub"] * 30) + ".example end " + "a." * 20000 + " b@"
+    frame = spark.createDataFrame([(1, long, 3, 4), (1, long, 3, 4), (None, "id 078-05-1120", 5, 6)], "doc_id long, text string, _pii_found int, _pii_new int")
+    got = pii.pseudonymise(frame, key="k").collect()
+    assert [(r._pii_found, r._pii_new) for r in got] == [(3, 4), (3, 4), (5, 6)] and got[0] == got[1] and got[0].pii_kinds == ["email"]
+    assert "qqqq" not in got[0].text and "sub." not in got[0].text and got[0].text.startswith("plain words ") and got[2].pii_kinds == ["ssn"]
+
+
+def test_every_date_has_a_pseudonym_of_its_own(spark):
+    days = spark.sql("select cast(date_add(date'1900-01-01', cast(id as int)) as string) as d from range(73049)")
+    out = days.select(F.expr(f"transform(array(d), m -> {pii._date('m', 'k')})[0]").alias("p"))
+    assert out.distinct().count() == 73049 and out.filter("p between '1900-01-01' and '2099-12-31' and try_cast(p as date) is not null").count() == 73049
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_digit_strings_of_any_length_are_permuted(spark, n):
+    df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d")).select(F.expr(pii._any_digits_permuted("d", "t", "k")).alias("p"))
+    assert df.distinct().count() == 10**n and df.filter(F.length("p") != n).count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(F.expr(pii._digits_permuted("d", 4, "t", "k")).alias("p"))
     assert df.distinct().count() == 10000
