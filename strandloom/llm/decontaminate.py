@@ -11,11 +11,15 @@ with too few literal words are hashed with their slot values instead, and find w
 leaks an item if the windows found cover enough of the item, or those with enough literal words enough of such windows.
 
 Before the join a document's windows pass a bitmap of the benchmark's window hashes. Its size is fixed, whatever the
-benchmark; only windows that it lets through become rows, so the join's input is the hits and few others.
+benchmark; only windows that it lets through become rows, so the join's input is the hits and few others. Items with
+equal texts are one item until their names are given at the end. A leak needs some number of an item's windows, so it
+holds one of the others and one more at least: only the rarest so many windows of each item lead to it, and wordings that
+many items share multiply nothing. All windows of the pairs that were found so are then joined and judged.
 
 Defined results: null and empty texts and items hold no windows; items with fewer tokens than a window are one window of
-their own length, those with fewer than ``MIN_TOKENS`` are never found; items with equal texts are all named; rows that repeat a doc_id are judged together; an empty benchmark finds nothing; other columns are
-ignored.
+their own length, found by template or word for word; those with fewer than ``MIN_TOKENS`` are found where they are the
+whole of a document; items with a null id are left out; items with equal texts are all named; rows that repeat a doc_id
+are judged together; an empty benchmark finds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -146,10 +150,17 @@ def exact_windows(h: np.ndarray, slot: np.ndarray, n: int, literals: float = LIT
     return at, _mix(x)
 
 
-def _rows(canonical: Canonical, text: str | None, n: int, keep=None) -> Iterator[tuple[int, int, list[str], list[int]]]:
-    """start, hash, slot values and slot types of a text's windows."""
+def _rows(canonical: Canonical, text: str | None, n: int, window: int, keep=None) -> Iterator[tuple[int, int, list[str], list[int]]]:
+    """start, hash, slot values and slot types of a text's windows of ``n`` tokens."""
     h, slot, ids = canonical(text)
-    at, x = (np.concatenate(v) for v in zip(windows(h, slot, n), exact_windows(canonical.hash[ids], slot, n), strict=True))
+    # Whole short items count word for word however many literal words they have, and the shortest as a whole text only.
+    short = n < window
+    if short and n < MIN_TOKENS and len(h) != n:
+        return
+    found = [exact_windows(canonical.hash[ids], slot, n, 2.0 if short else LITERALS)]
+    if n >= MIN_TOKENS:
+        found.append(windows(h, slot, n))
+    at, x = (np.concatenate(v) for v in zip(*found, strict=True))
     if keep is not None:
         hit = keep(x)
         at, x = at[hit], x[hit]
@@ -168,7 +179,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = min(window, len(canonical(text)[0]))
-                out += [(i, n, *r) for r in _rows(canonical, text, n)] if n >= MIN_TOKENS else []
+                out += [(i, n, *r) for r in _rows(canonical, text, n, window)] if n else []
             yield _batch(out)
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -195,11 +206,35 @@ def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return whole
 
 
+def rare_windows(items: DataFrame, coverage: float) -> DataFrame:
+    """id, hash, size of the windows of which every leak of an item holds one: the item's rarest but for those it may do without.
+
+    items: (id, size, start, hash, template).
+    """
+    df = items.select("id", "hash", "size").distinct().groupBy("hash", "size").agg(F.count("*").alias("df"))
+    rows = items.join(df, ["hash", "size"])
+    per, order = Window.partitionBy("id"), [F.col("df"), F.col("hash"), F.col("start")]
+    template = F.when(F.col("template"), 1)
+    starts = lambda c: F.size(F.collect_set(c).over(per))
+    ranked = rows.select(
+        "id", "hash", "size", "template", F.row_number().over(per.orderBy(*order)).alias("rank"), F.sum(template).over(per.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("template_rank"),
+        F.count("*").over(per).alias("rows"), F.count(template).over(per).alias("template_rows"), starts(F.col("start")).alias("starts"), starts(F.when(F.col("template"), F.col("start"))).alias("template_starts"),
+    )
+    need = F.least(F.ceil(F.lit(coverage) * F.col("starts")), F.lit(RUN))
+    any_of = F.col("rank") <= F.col("rows") - need + 1
+    template_of = F.col("template") & (F.col("template_rank") <= F.col("template_rows") - F.ceil(F.lit(coverage) * F.col("template_starts")) + 1)
+    return ranked.filter(any_of | template_of).select("id", "hash", "size").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, same_slots for every leaked item of every document."""
     spark = docs.sparkSession
-    items = staged(benchmark_windows(benchmark, window), "benchmark-windows")
-    # Window lengths are between MIN_TOKENS and window.
+    named = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.sha2("text", 256))
+    first = named.groupBy("key").agg(F.min("item_id").alias("id"))
+    names = staged(named.select("item_id", "key").distinct().join(first, "key").select("item_id", "id"), "benchmark-names")
+    once = named.join(first, "key").filter("item_id = id").dropDuplicates(["key"]).select("item_id", "text")
+    items = staged(benchmark_windows(once, window), "benchmark-windows")
+    # Window lengths are between 1 and window.
     lengths = sorted(r.size for r in items.select("size").distinct().collect())
     sent = spark.sparkContext.broadcast(bitmap(items.select("hash")))
 
@@ -214,16 +249,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for n in lengths:
-                    out += [(i, n, *r) for r in _rows(canonical, text.as_py(), n, keep)]
+                    out += [(i, n, *r) for r in _rows(canonical, text.as_py(), n, window, keep)]
             if out:
                 yield _batch(out)
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = texts.mapInArrow(run, SCHEMA).withColumnsRenamed({"id": "doc_id", "start": "doc_start", "slot_values": "doc_values", "slot_types": "doc_types"})
-    met = hits.join(items.withColumnRenamed("id", "item_id"), ["hash", "size"])
+    hits = staged(texts.mapInArrow(run, SCHEMA).withColumnsRenamed({"id": "doc_id", "start": "doc_start", "slot_values": "doc_values", "slot_types": "doc_types"}), "window-hits")
+    templates = F.col("size") - F.size("slot_values") >= F.lit(LITERALS) * F.col("size")
+    rare = rare_windows(items.withColumn("template", templates), coverage)
+    wanted = hits.select("doc_id", "hash", "size").join(rare, ["hash", "size"]).select("doc_id", F.col("id").alias("item_id")).distinct()
+    met = wanted.join(items.withColumnRenamed("id", "item_id"), "item_id").join(hits, ["doc_id", "hash", "size"])
     pair = F.transform(F.sequence(F.lit(0), F.size("slot_values") - 1), lambda i: F.struct(F.get("slot_types", i).alias("t"), F.get("slot_values", i).alias("iv"), F.get("doc_values", i).alias("dv")))
     pairs = F.when((F.size("slot_values") > 0) & (F.size("slot_values") == F.size("doc_values")), pair).otherwise(F.array().cast("array<struct<t:int,iv:string,dv:string>>"))
-    templates = F.col("size") - F.size("slot_values") >= F.lit(LITERALS) * F.col("size")
     lined = met.groupBy("doc_id", "item_id", (F.col("doc_start") - F.col("start")).alias("line")).agg(F.collect_set(F.struct("start", templates.alias("template"), pairs.alias("pairs"))).alias("hits"))
     lined = lined.withColumn("pairs", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))))
     side = lambda v: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p[v]))))
@@ -244,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         .join(sizes, "item_id")
     )
     share = F.greatest(F.col("found") / F.col("windows"), F.try_divide(F.col("template_found").cast("double"), F.col("template_windows").cast("double")))
-    return covered.withColumn("coverage", share).filter((F.col("coverage") >= coverage) | (F.col("longest") >= RUN)).select("doc_id", "item_id", "coverage", "same_slots")
+    return covered.withColumn("coverage", share).filter((F.col("coverage") >= coverage) | (F.col("longest") >= RUN)).join(names.select(F.col("id"), F.col("item_id").alias("name")), F.col("item_id") == F.col("id")).select("doc_id", F.col("name").alias("item_id"), "coverage", "same_slots")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

@@ -362,6 +362,30 @@ def test_decontamination_of_altered_copies(spark):
     assert got[4].coverage == 1.0 and not got[4].reparameterised and got[0].reparameterised
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "What is 2 + 2 ?"), (2, "Paris, London, Rome, Berlin, Madrid, Vienna"), (3, "What is it"), (4, "Yes"), (5, "Yes"), (None, "Not named at all"), (6, "")]
+    docs = ["He asked: What is 2 + 2 ? Nobody knew.", "They saw Paris, London, Rome, Berlin, Madrid, Vienna and more.", "so I say What is it then", "yes!", "Yes, we can", "What is 3 + 3 ?", "this is Not named at all"]
+    rows = [(i, t) for i, t in enumerate(docs)] + [(0, "Paris alone"), (7, "plain words " * 200000 + docs[0]), (None, docs[0])]
+    got = decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_ids) for r in got if r.doc_id is not None) == [(0, [1]), (0, [1]), (1, [2]), (2, [3]), (3, [4, 5]), (4, []), (5, []), (6, []), (7, [1])]
+    assert decontaminate.flag(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+
+
+def test_windows_that_many_items_share_bring_none_of_them_up(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 12)
+    items = [(i, f"{shared} {prose(rng, 14)}") for i in range(60)]
+    docs = [(0, f"{prose(rng, 20)} {shared} {prose(rng, 20)}"), (1, prose(rng, 20) + " " + items[7][1]), (2, " ".join(items[9][1].split()[8:])), (3, items[11][1].replace(" ", "  ") + " " + items[12][1])]
+    got = {r.doc_id: r.item_ids for r in decontaminate.flag(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def brute(text):
+        w = text.split()
+        seen = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+        return [i for i, t in items if 2 * sum(tuple(t.split()[k : k + 8]) in seen for k in range(len(t.split()) - 7)) >= len(t.split()) - 7]
+
+    assert got == {i: brute(t) for i, t in docs} and got[0] == [] and 7 in got[1] and 9 in got[2] and {11, 12} <= set(got[3])
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><a href='/a'>menu</a></nav><div class='ad'>buy</div>{body}<footer>f &copy;</footer></body></html>"
 
