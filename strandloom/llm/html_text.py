@@ -4,8 +4,9 @@ A page is cut into text blocks, each below a chain of elements. An element's pat
 classes (digits dropped, sorted). Every page scores its containers (text that is not link text, given to the nearest
 container and in part to the one above) and votes for the path of the best one; the votes are summed per host in Spark
 and the path with the most votes wins. Pages are then extracted again: the articles around all containers with the host's
-winning path if the page has any, else around the page's own best one, without menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments inside. Votes are (host, path) sums, so a host with a third of all pages is a few rows.
+winning path if the page has any, else around the page's own best one, without menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments inside. Class and id words tell these; they drop blocks, never what stands
+within a paragraph, and headings never. Votes are (host, path) sums, so a host with a third of all pages is a few rows.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null or broken url votes under an
 empty host; repeated rows vote and are extracted one by one; an empty table gives no rows; other columns are ignored.
@@ -15,11 +16,12 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -29,8 +31,13 @@ BROADCAST_HOSTS = 200_000
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tr td th ul".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace semantics annotation".split()
+)
+BARRIERS = frozenset("table td th div section article main body ul ol dl blockquote".split())
+SELF_CLOSING = frozenset("li dt dd tr h1 h2 h3 h4 h5 h6".split())
+WORDY = frozenset("table tr figure".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr caption figcaption summary".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg select button textarea canvas object embed dialog menu".split())
 DROPPED_WORDS = frozenset(
@@ -40,6 +47,8 @@ DROPPED_WORDS = frozenset(
 )
 #: As a whole class or id: what readers wrote, which may be longer than the page.
 READER_WORDS = frozenset("comment comments respond reply disqus disqus_thread".split())
+#: Words that inside an article name parts of it, such as boxes with warnings.
+ARTICLE_WORDS = frozenset("alert notice notices widget toolbar skip".split())
 HEADER_WORDS = frozenset("header".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -51,64 +60,96 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    """``dropped``: never text. ``doubt``: elements from here up that go by their words or place, unless they hold the page."""
+    """An element. What depends on the elements above is told from the parent alone, so a page takes time by its length
+    however deep it is nested.
+
+    ``key`` stands for the path; ``within``: nearest article or main; ``block``: nearest that is not inline; ``box``: nearest
+    container; ``dropped``: never text; ``doubt``: nearest element that goes by its words or place, unless it holds the page.
+    """
+
+    __slots__ = ("tag", "segment", "key", "depth", "parent", "within", "block", "box", "dropped", "doubt", "above", "readers", "link", "leaf", "p_open")
+
+    def __init__(self, tag: str, segment: str, parent: Node | None, dropped: bool = False):
+        inline = tag in INLINE
+        self.tag, self.segment, self.parent, self.dropped, self.readers, self.above = tag, segment, parent, dropped, False, None
+        if parent is None:
+            self.key, self.depth, self.within, self.doubt, self.link, self.leaf, self.p_open = 0, 0, None, None, False, False, False
+        else:
+            self.key = parent.key if inline else xxhash.xxh3_64_intdigest(segment.encode("utf-8", "replace"), parent.key) - (1 << 63)
+            self.depth, self.doubt, self.link = parent.depth + 1, parent.doubt, parent.link or tag == "a"
+            self.within = self if tag in ("article", "main") else parent.within
+            self.leaf = parent.leaf or tag in LEAVES
+            self.p_open = tag == "p" or parent.p_open and tag not in BARRIERS
+        self.block = parent.block if inline and parent else self
+        self.box = parent.box if self.leaf or inline and parent else self
 
-    __slots__ = ("tag", "path", "parent", "dropped", "doubt", "readers", "link", "leaf")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, doubt: tuple[Node, ...], link: bool, leaf: bool):
-        self.tag, self.path, self.parent, self.dropped, self.doubt, self.readers, self.link, self.leaf = tag, path, parent, dropped, doubt, False, link, leaf
+class Page:
+    """Text blocks (text, characters that are link text, element) in page order, and the elements in order of their start."""
+
+    def __init__(self, found: list[tuple[str, int, Node]], nodes: list[Node]):
+        self.found, self.nodes = found, nodes
 
 
 def _node(tag: str, attributes: str, parent: Node) -> Node:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes) if m[1].lower() in _ATTRS} if attributes.strip() else {}
+    found: dict[str, str] = {}
+    if attributes.strip():
+        for m in _ATTR.finditer(attributes):
+            if m[1].lower() in _ATTRS:
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     classes = sorted({_DIGITS.sub("", c) for c in found.get("class", "").split()} - {""})
     words = set(_SPLIT.split(_CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").lower())) if found else set()
-    within = parent
-    while within is not None and within.tag not in ("article", "main"):
-        within = within.parent
     structural = tag not in ("html", "body", "main", "article")
     dropped = parent.dropped or tag in DROPPED or structural and ("hidden" in found or found.get("aria-hidden") == "true")
-    doubtful = structural and bool(words & DROPPED_WORDS or found.get("role", "").lower() in DROPPED_ROLES)
-    doubtful = doubtful or within is None and structural and (tag == "header" or bool(words & HEADER_WORDS) and tag not in ("h1", "h2", "h3"))
-    inline = tag in INLINE
-    path = parent.path if inline else f"{parent.path}/{tag}{''.join('.' + c for c in classes)}"
-    node = Node(tag, path, parent, dropped, parent.doubt, parent.link or tag == "a", parent.leaf or tag in LEAVES)
-    if doubtful and inline:
+    if tag in INLINE or tag in LEAVES or tag in WORDY:
+        # What stands in a paragraph, and headings, go by the blocks around them; loose ones outside articles by a whole word.
+        loose = parent.within is None and not parent.leaf and (tag in INLINE or tag == "p")
+        doubtful = loose and not DROPPED_WORDS.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    else:
+        named = words & DROPPED_WORDS - (ARTICLE_WORDS if parent.within is not None else frozenset())
+        doubtful = structural and bool(named) or parent.within is None and (tag == "header" or structural and bool(words & HEADER_WORDS))
+    doubtful = doubtful or structural and found.get("role", "").lower() in DROPPED_ROLES
+    node = Node(tag, f"{tag}{''.join('.' + c for c in classes)}", parent, dropped)
+    if doubtful and tag in INLINE:
         node.dropped = True
     elif doubtful:
-        node.doubt = (*parent.doubt, node)
+        node.above, node.doubt = parent.doubt, node
         node.readers = not READER_WORDS.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
     return node
 
 
-def _undropped(found: list[tuple[str, int, Node]], holders: set[Node]) -> list[tuple[str, int, Node]]:
+def _undropped(page: Page, holders: set[Node]) -> list[tuple[str, int, Node]]:
     """The blocks that no doubtful element drops: one that holds an article or main (``holders``), or most of the text
     of a page without them, drops nothing; where no block is left all stay."""
-    held: dict[Node, int] = {}
+    doubtful = [node for node in page.nodes if node.doubt is node]
+    if not doubtful:
+        return page.found
+    held = dict.fromkeys(doubtful, 0)
     total = 0
-    for text, links, block in found:
-        total += len(text) - min(links, len(text))
-        for node in block.doubt:
-            held[node] = held.get(node, 0) + len(text) - min(links, len(text))
-    if not held:
-        return found
+    for text, links, block in page.found:
+        worth = len(text) - min(links, len(text))
+        total += worth
+        if block.doubt is not None:
+            held[block.doubt] += worth
+    for node in reversed(doubtful):
+        if node.above is not None:
+            held[node.above] += held[node]
     spared = set(holders)
     # A page with an article has its text there, and comments may well be longer.
-    if not any(b.tag in ("article", "main") for _, _, block in found for b in _above(block)):
+    if all(block.within is None for _, _, block in page.found):
         spared |= {node for node, n in held.items() if 2 * n > total and not node.readers}
-    return [x for x in found if all(node in spared for node in x[2].doubt)] or found
-
-
-def _above(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+    stays: dict[Node | None, bool] = {None: True}
+    for node in doubtful:
+        stays[node] = node in spared and stays[node.above]
+    return [x for x in page.found if stays[x[2].doubt]] or page.found
 
 
-def blocks(page: str) -> list[tuple[str, int, Node]]:
-    """(text, characters that are link text, nearest element that is not inline) of each block in page order."""
-    root = Node("", "", None, False, (), False, False)
+def blocks(page: str) -> Page:
+    """A page's text blocks, each with the nearest element that is not inline."""
+    root = Node("", "", None)
     holders: set[Node] = set()
+    nodes: list[Node] = []
+    opened: Counter[str] = Counter()
     now, out, parts, links, at = root, [], [], 0, 0
     n = len(page)
 
@@ -117,10 +158,7 @@ def blocks(page: str) -> list[tuple[str, int, Node]]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                block = now
-                while block.tag in INLINE:
-                    block = block.parent
-                out.append((text, links, block))
+                out.append((text, links, now.block))
         parts, links = [], 0
 
     def say(text: str) -> None:
@@ -130,6 +168,12 @@ def blocks(page: str) -> list[tuple[str, int, Node]]:
             if now.link:
                 links += len(text)
 
+    def leave(to: Node) -> None:
+        nonlocal now
+        while now is not to:
+            opened[now.tag] -= 1
+            now = now.parent
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -144,7 +188,7 @@ def blocks(page: str) -> list[tuple[str, int, Node]]:
             if tag in VOID:
                 say(" ")
                 continue
-            up = now
+            up = now if opened[tag] else root
             while up is not root and up.tag != tag:
                 # An end tag of inline markup never closes blocks.
                 if tag in INLINE and up.tag not in INLINE:
@@ -154,7 +198,7 @@ def blocks(page: str) -> list[tuple[str, int, Node]]:
             if up is not root:
                 if tag not in INLINE:
                     cut()
-                now = up.parent
+                leave(up.parent)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -166,127 +210,124 @@ def blocks(page: str) -> list[tuple[str, int, Node]]:
             close = page.find(">", end.end()) if end else -1
             at = n if close < 0 else close + 1
             continue
-        if tag in CLOSES_P or tag not in INLINE:
+        if tag not in INLINE:
             cut()
             up, stop = now, now
-            while up is not root and up.tag not in ("table", "td", "th", "div", "section", "article", "main", "body", "ul", "ol", "dl", "blockquote"):
-                if up.tag == "p" or up.tag in ("li", "dt", "dd") and tag in ("li", "dt", "dd") or up.tag == tag and tag in ("tr", "h1", "h2", "h3", "h4", "h5", "h6"):
+            while (now.p_open or tag in SELF_CLOSING) and up is not root and up.tag not in BARRIERS:
+                if up.tag == "p" or up.tag in ("li", "dt", "dd") and tag in ("li", "dt", "dd") or up.tag == tag and tag in SELF_CLOSING:
                     stop = up.parent
                 up = up.parent
-            now = stop
+            leave(stop)
         now = _node(tag, m[3], now)
-        if tag in ("article", "main") and now.doubt and not now.dropped:
+        nodes.append(now)
+        opened[tag] += 1
+        if tag in ("article", "main") and now.doubt is not None and not now.dropped and now.parent.within is None:
             # Teasers and comments may be articles of an article; those tell nothing of what is around them.
-            outer = next((x for x in _above(now.parent) if x.tag in ("article", "main")), None)
-            holders.update(set(now.doubt) - {now} if outer is None else ())
+            up = now.above if now.doubt is now else now.doubt
+            while up is not None and up not in holders:
+                holders.add(up)
+                up = up.above
     cut()
-    return _undropped(out, holders)
-
+    whole = Page(out, nodes)
+    whole.found = _undropped(whole, holders)
+    return whole
 
-def container(node: Node) -> Node:
-    while node.leaf and node.parent is not None:
-        node = node.parent
-    return node
 
-
-def best_path(found: list[tuple[str, int, Node]]) -> tuple[str, float] | None:
-    """The best container's path and its score."""
-    scores: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    for text, links, block in found:
+def best_path(page: Page) -> tuple[int, str, float] | None:
+    """The best container's path, by its key and in words, and its score."""
+    scores: dict[Node, float] = {}
+    for text, links, block in page.found:
         worth = max(0.0, len(text) - 1.5 * links) * (1.0 if len(text) >= 40 else 0.4)
-        share, node = 1.0, container(block)
+        share, node = 1.0, block.box
         for _ in range(3):
-            if node is None or not node.path:
+            if node is None or node.parent is None:
                 break
-            key = id(node)
-            nodes[key] = node
-            scores[key] = scores.get(key, 0.0) + worth * share * (1.5 if node.tag in ("article", "main") else 1.0)
-            share, node = share / 2, node.parent
-            while node is not None and node.tag in INLINE:
-                node = node.parent
+            scores[node] = scores.get(node, 0.0) + worth * share * (1.5 if node.tag in ("article", "main") else 1.0)
+            share, node = share / 2, node.parent.block
     if not scores:
         return None
-    key = max(scores, key=lambda k: (scores[k], -len(nodes[k].path), nodes[k].path))
-    return nodes[key].path, scores[key]
+    won = max(scores, key=lambda x: (scores[x], -x.depth, x.key))
+    path, node = [], won
+    while node is not None and node.parent is not None:
+        path += [] if node.tag in INLINE else [node.segment]
+        node = node.parent
+    return won.key, "/".join(reversed(path)), scores[won]
 
 
-def _whole(node: Node, held: dict[Node, tuple[int, int]]) -> Node:
+def _whole(node: Node, held: dict[Node, list[int]]) -> Node:
     """The enclosing article or main; without one the highest element below the body that adds no more link text than text."""
-    for up in _above(node):
-        if up.tag in ("article", "main"):
-            return up
-    best = node
-    for up in _above(node.parent):
-        if up.tag in ("", "html", "body"):
-            break
+    if node.within is not None:
+        return node.within
+    best, up = node, node.parent
+    while up is not None and up.tag not in ("", "html", "body"):
         if up.tag not in INLINE:
             text, links = (x - y for x, y in zip(held[up], held[best], strict=True))
             if 2 * links > text:
                 break
             best = up
+        up = up.parent
     return best
 
 
-def extract(found: list[tuple[str, int, Node]], path: str | None) -> str:
-    """The blocks of the articles around containers with ``path``, joined; the page's own best path where it has none."""
-    def below(path: str) -> list[str]:
-        won = {node for _, _, b in found for node in _above(b) if node.path == path and node.tag not in INLINE}
-        held: dict[Node, tuple[int, int]] = {}
-        for t, n, b in found:
-            for node in _above(b):
-                text, links = held.get(node, (0, 0))
-                held[node] = text + len(t), links + min(n, len(t))
-        roots = {_whole(node, held) for node in won}
-        return [t for t, _, b in found if any(node in roots for node in _above(b))]
-
-    kept = below(path) if path else []
-    if not kept and found:
-        own = best_path(found)
-        path = own[0] if own else None
-        kept = [t for t, _, _ in found] if path is None else below(path)
+def extract(page: Page, key: int | None) -> str:
+    """The blocks of the articles around containers with the path ``key``, joined; the page's own best one where it has none."""
+    held: dict[Node, list[int]] = {node: [0, 0] for node in page.nodes}
+    for text, links, block in page.found:
+        if block in held:
+            held[block][0] += len(text)
+            held[block][1] += min(links, len(text))
+    for node in reversed(page.nodes):
+        if node.parent in held:
+            held[node.parent][0] += held[node][0]
+            held[node.parent][1] += held[node][1]
+
+    def below(key: int) -> list[str]:
+        roots = {_whole(node, held) for node in page.nodes if node.key == key and node.tag not in INLINE and held[node][0]}
+        inside: dict[Node | None, bool] = {}
+        for node in page.nodes:
+            inside[node] = node in roots or inside.get(node.parent, False)
+        return [text for text, _, block in page.found if inside.get(block, False)]
+
+    kept = below(key) if key is not None else []
+    if not kept and page.found:
+        own = best_path(page)
+        kept = [text for text, _, _ in page.found] if own is None else below(own[0])
     return "\n\n".join(kept)
 
 
-def host(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
+def host(url) -> F.Column:
+    """A URL's host in lower case, without user, port and "www."; empty where there is none. Votes and extraction use this one."""
+    found = F.regexp_extract(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return F.regexp_replace(found, r"^www\.", "")
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, score: each page's vote."""
+    """host, path_key, path, score: each page's vote."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                best = best_path(blocks(page.as_py() or ""))
-                if best:
-                    rows.append((host(url), *best))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
+            best = [best_path(blocks(page.as_py() or "")) for page in batch.column(1)]
+            columns = [pa.array([b and b[i] for b in best], k) for i, k in enumerate((pa.int64(), pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "path_key", "path", "score"]).filter(pa.array([b is not None for b in best], pa.bool_()))
 
-    return pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, score double")
+    return pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path_key long, path string, score double")
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """host, path: the winning path of each host. Votes are capped in weight by a logarithm, ties go to the longer text."""
-    summed = votes(pages).groupBy("host", "path").agg(F.sum(F.log1p("score")).alias("weight"), F.count("*").alias("pages"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), F.desc("weight"), "path"))
-    return staged(summed.withColumn("rank", rank).filter("rank = 1").select("host", "path"), "host-paths")
+    """host, path_key, path: the winning path of each host: most pages, then the larger sum of the scores' logarithms, then the path."""
+    summed = votes(pages).groupBy("host", "path_key").agg(F.min("path").alias("path"), F.sum(F.log1p("score")).alias("weight"), F.count("*").alias("pages"))
+    best = F.max_by(F.struct("path_key", "path"), F.struct("pages", F.round("weight", 6), "path_key"))
+    return staged(summed.groupBy("host").agg(best.alias("best")).select("host", "best.path_key", "best.path"), "host-paths")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    paths = consensus(pages)
+    paths = consensus(pages).select("host", "path_key")
     known = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(blocks(page.as_py() or ""), path.as_py()) for page, path in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [extract(blocks(page.as_py() or ""), key.as_py()) for page, key in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    # The host as Python reads it from the URL, by the same rule as for the votes: lower case, no port, no "www.".
-    own = F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))), r"^www\.", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), own.alias("host"))
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "path_key").mapInArrow(run, "page_id long, url string, text string, n_chars long")

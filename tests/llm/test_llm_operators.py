@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -415,6 +416,44 @@ def test_html_dropped_elements():
         assert main_text(f"<div><p>{text}</p></div>" + gone.format("other words " * 30)) == text, gone
 
 
+def test_html_words_within_articles_and_paragraphs():
+    text = "A paragraph that is long enough to count as text of the page, and more."
+    for outer in ("article", "div"):
+        got = main_text(f"<{outer}><h2 id='related-work'>Related work</h2><p>{text}</p><pre><code><span class='token comment'># note</span> x = 1</code></pre><p data-id='comment-3' title='the hidden truth'>Let <math><mi>x</mi></math> be <span class='alert'>so</span>.</p></{outer}>")
+        assert got == f"Related work\n\n{text}\n\n# note x = 1\n\nLet x be so."
+    assert main_text(f"<article><p>{text}</p><section class='alert-box'>Mind the gap.</section><div class='related-posts'>no</div></article>") == f"{text}\n\nMind the gap."
+
+
+def test_html_time_grows_with_length_only():
+    for opened in ("<div>", "<x>", "<div class='comments'>", "<article>", "<li>", "<b>", "<section id=a1 class='b c'>"):
+        began = time.time()
+        assert main_text(opened * 30000 + "<p>deep text</p>" + "</p></i></section>" * 3000).startswith("deep text"), opened
+        assert time.time() - began < 8, opened
+
+
+def test_html_consensus_is_the_vote_of_all_pages(spark):
+    rng = random.Random(7)
+    long = lambda n: " ".join(prose(rng, 14) for _ in range(n))
+    rows = []
+    for i in range(30):
+        # Page 0 has more text beside the article than in it; the host's other pages tell where the article is.
+        story, side = (long(2), long(9)) if i == 0 else (long(9), long(2))
+        url = ("http://A.example:80/%d", "https://www.a.example/%d", "//a.example/%d", "http://u@a.example/%d")[i % 4] % i
+        rows.append((i, url, f"<html><body><div class='story{i}'><p>{story}</p></div><ul><li><a href='/x'>{side}</a></li></ul><div class='more'><p>{side}</p></div></body></html>"))
+    rows += [rows[3], (40, "http://[::1]:80/x", "<div class='z1'><p>six</p></div>"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.main_texts(frame).collect()
+    votes = Counter()
+    for _, url, html in rows[:31]:
+        best = html_text.best_path(html_text.blocks(html))
+        votes[best[1]] += 1
+    paths = {r.host: r.path for r in html_text.consensus(frame).collect()}
+    assert paths == {"a.example": votes.most_common(1)[0][0], "[::1]": "div.z"} and paths["a.example"].endswith("div.story") and len(votes) == 2
+    stories = {i: re.search("<p>(.*?)</p>", html)[1] for i, _, html in rows[:30]}
+    assert {r.page_id: r.text for r in got if r.page_id is not None and r.page_id < 30} == stories and len(got) == len(rows)
+    assert html_text.main_texts(frame.limit(0)).collect() == []
+
+
 def test_html_nested_bodies():
     body = "".join(f"<p>Paragraph {i} of the body, which is long enough to outweigh all that stands beside it.</p>" for i in range(12))
     for outer in ("article", "main", "div"):
