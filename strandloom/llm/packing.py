@@ -1,16 +1,19 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
 Documents longer than a sequence are cut into whole sequences and a rest; every piece keeps together. Pieces of equal
-length are interchangeable and so are gaps of equal size, so the range-sorted documents and gaps are kept as runs
-(length, first rank, count) and (room, first sequence, count). One round is a sweep over both in size order in which
-every gap is matched with the longest unmatched piece that it can hold, which makes it that piece's nearest free
-successor; where several want the same, ranks decide: the k-th piece of a run takes the k-th gap of a run. After a
-round all gaps are updated and the next begins; a round without a match opens as many sequences as the tokens that
-are left need at least, with the longest pieces first.
-
-Lengths lie between 1 and ``max_tokens``, so the number of runs is bounded by that parameter and not by the corpus: the
-sweeps go over the table of runs, whatever the number of rows. What grows with the corpus is distributed: encoding,
-counting lengths, the rank of each piece (salted, so that one very common length is spread) and the placing.
+length are interchangeable and so are gaps of equal size, so the sorted pieces and gaps are kept as runs (length, first
+rank, count) and (room, first sequence, count), dealt out by ranges of their size. One round sweeps every range in a task
+of its own, in size order: each gap is matched with the longest unmatched piece that it can hold, which makes it that
+piece's nearest free successor; where several want the same, ranks decide: the k-th piece of a run takes the k-th gap of a
+run. The range sweeps on over its updated gaps until none of its pieces fits one, and gaps that became smaller than the
+range go to another. Rounds follow one another until no range finds a match; then one round goes over all ranges
+together, for pieces whose next gap lies in a higher range; and if that finds none either, as many sequences as the
+tokens that are left need at least are opened with the longest pieces.
+
+Between rounds the runs are a table in the shared folder, so a lost executor costs a round. Lengths lie between 1 and
+``max_tokens``, so the number of runs and of rounds is bounded by that parameter and not by the corpus. What grows with
+the corpus is distributed by rows: encoding, counting lengths, the rank of each piece (salted, so that one very common
+length is spread) and the placing.
 
 Defined results: null and empty texts have the end id alone; an empty table gives no rows; rows with the same
 ``doc_id`` are packed as documents of their own; other columns are ignored.
@@ -18,6 +21,7 @@ Defined results: null and empty texts have the end id alone; an empty table give
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +34,7 @@ from .common import parallelism, staged
 from .tokens import default_vocabulary, encoder
 
 MAX_TOKENS = 4096
+ITEM, GAP, PLACED = 0, 1, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -79,42 +84,77 @@ def sweep(items: list[list[int]], gaps: list[tuple[int, int, int]]) -> tuple[lis
     return matches, stack, unused
 
 
-def plan(lengths: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int]]:
-    """Places by runs: (length, first rank, count, first sequence, offset), for so many pieces of each length."""
-    items = [[length, 0, n] for length, n in sorted(lengths.items()) if n]
-    gaps: list[tuple[int, int, int]] = []
-    placed, sequences = [], 0
-    while items:
+def settle(state: pa.Table) -> pa.Table:
+    """A range's rounds: sweeps over its runs until none of its pieces fits one of its gaps.
+
+    state: (kind, size, first, n, seq, room, lowest); returns the runs that are left (kind 0 pieces, 1 gaps) and those
+    placed (2: length, first rank, count, first sequence, room that they found).
+    """
+    rows = list(zip(*(state.column(c).to_pylist() for c in ("kind", "size", "first", "n")), strict=True))
+    lowest = state.column("lowest")[0].as_py()
+    items = sorted([size, first, n] for kind, size, first, n in rows if kind == ITEM)
+    gaps = [(size, first, n) for kind, size, first, n in rows if kind == GAP]
+    out, gone = [], []
+    while True:
         matches, items, gaps = sweep(items, gaps)
         for length, rank, n, room, seq in matches:
-            placed.append((length, rank, n, seq, max_tokens - room))
+            out.append((PLACED, length, rank, n, seq, room))
             if room > length:
-                gaps.append((room - length, seq, n))
-        if matches or not items:
-            continue
-        need = max(1, -(-sum(length * n for length, _, n in items) // max_tokens))
-        for item in reversed(items):
-            k = min(need, item[2])
-            placed.append((item[0], item[1] + item[2] - k, k, sequences, 0))
-            if item[0] < max_tokens:
-                gaps.append((max_tokens - item[0], sequences, k))
-            sequences, need, item[2] = sequences + k, need - k, item[2] - k
-            if not need:
-                break
-        items = [x for x in items if x[2]]
-    return sorted(placed)
+                (gaps if room - length >= lowest else gone).append((room - length, seq, n))
+        if not matches:
+            break
+    out += [(ITEM, length, rank, n, 0, 0) for length, rank, n in items] + [(GAP, room, seq, n, 0, 0) for room, seq, n in gaps + gone]
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["kind", "size", "first", "n", "seq", "room"])
+
+
+def opened(state: DataFrame, need: int, sequences: int, max_tokens: int) -> DataFrame:
+    """``need`` sequences opened with the longest pieces. A window over all runs: they are bounded by max_tokens."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size"), F.desc("first")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    items = state.filter(F.col("kind") == ITEM).withColumn("before", before).withColumn("k", F.greatest(F.lit(0), F.least("n", F.lit(need) - F.col("before"))))
+    row = lambda kind, size, first, n, seq, room: F.struct(F.lit(kind).cast("long").alias("kind"), size.alias("size"), first.alias("first"), n.alias("n"), seq.alias("seq"), room.alias("room"))
+    none, seq, k, size = F.lit(0).cast("long"), F.col("before") + sequences, F.col("k"), F.col("size")
+    whole = F.lit(max_tokens).cast("long")
+    made = F.array(row(ITEM, size, F.col("first"), F.col("n") - k, none, none), row(GAP, whole - size, seq, k, none, none), row(PLACED, size, F.col("first") + F.col("n") - k, k, seq, whole))
+    new = items.select(F.explode(made).alias("x")).select("x.*").filter((F.col("n") > 0) & (F.col("size") > 0))
+    return state.filter(F.col("kind") == GAP).select(new.columns).union(new)
+
+
+def places(lengths: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(length, rank, n, seq, offset): places by runs, for pieces counted by (length, n)."""
+    zero = F.lit(0).cast("long")
+    state = staged(lengths.select(zero.alias("kind"), F.col("length").cast("long").alias("size"), zero.alias("first"), F.col("n").cast("long").alias("n"), zero.alias("seq"), zero.alias("room")), "packing-runs")
+    # Ranges halve, as most gaps and documents are small.
+    cuts = [c for c in (max_tokens >> 3, max_tokens >> 2, max_tokens >> 1) if c > 1]
+    part = sum((F.col("size") >= c).cast("int") for c in cuts) if cuts else F.lit(0)
+    lowest = F.element_at(F.array(*[F.lit(c).cast("long") for c in (1, *cuts)]), F.col("part") + 1)
+    # Each range on its own, all together, more sequences: the first of these again after every match.
+    apart, together, more = range(3)
+    done, sequences, step = [state.limit(0)], 0, more
+    while True:
+        left = state.filter(F.col("kind") == ITEM).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("tokens")).first()
+        if not left.n:
+            break
+        if step == more:
+            need = min(left.n, -(-left.tokens // max_tokens))
+            state = staged(opened(state.filter(F.col("kind") != PLACED), need, sequences, max_tokens), "packing-runs")
+            sequences, step = sequences + need, apart
+        else:
+            dealt = state.filter(F.col("kind") != PLACED).withColumn("part", F.lit(0) if step == together else part).withColumn("lowest", lowest)
+            state = staged(dealt.groupBy("part").applyInArrow(settle, "kind long, size long, first long, n long, seq long, room long"), "packing-runs")
+            step = apart if state.filter(F.col("kind") == PLACED).take(1) else step + 1
+        done.append(state)
+    placed = functools.reduce(DataFrame.union, done).filter(F.col("kind") == PLACED)
+    return placed.select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "seq", (F.lit(max_tokens) - F.col("room")).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece, sequences gapless from offset 0."""
     spark = docs.sparkSession
     pieces = staged(cut(docs, vocabulary or default_vocabulary(), max_tokens), "packing-pieces")
-    # At most max_tokens rows, whatever the corpus.
-    runs = plan({r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, max_tokens)
-    by_length: dict[int, list] = {}
-    for length, rank, _, seq, offset in runs:
-        by_length.setdefault(length, []).append((rank, seq, offset))
-    places = spark.createDataFrame(sorted(by_length.items()), "length long, runs array<struct<rank: long, seq: long, offset: long>>")
+    found = places(pieces.groupBy("length").agg(F.count("*").alias("n")), max_tokens)
+    # At most max_tokens rows with a few runs each, whatever the corpus.
+    runs = found.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "seq", "offset"))).alias("runs"))
 
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parallelism(spark)))
     salted = pieces.withColumn("salt", salt)
@@ -123,9 +163,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_T
     bases = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = salted.withColumn("inner", inner).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("inner") - 1)
     run = F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("rank")), -1)
-    # places has at most max_tokens rows and a few runs in each.
     return (
-        ranked.join(F.broadcast(places), "length")
+        ranked.join(F.broadcast(runs), "length")
         .withColumn("run", run)
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.seq") + F.col("rank") - F.col("run.rank")).alias("sequence_id"), F.col("run.offset").alias("offset"))
     )

@@ -99,12 +99,20 @@ def best_fit_decreasing(lengths, size):
     return len(rooms)
 
 
-def test_packing_plan_is_close_to_the_bound():
+def test_packing_is_close_to_sequential_best_fit(spark):
     rng = random.Random(4)
-    lengths = Counter(min(4096, max(1, int(rng.lognormvariate(6, 1.2)))) for _ in range(20000))
-    runs = packing.plan(dict(lengths))
-    assert Counter(dict(lengths)) == sum((Counter({length: n}) for length, _, n, _, _ in runs), Counter())
-    assert max(s + n for _, _, n, s, _ in runs) <= 1.002 * sum(k * v for k, v in lengths.items()) / 4096 + 1
+    for size, count, spread in ((4096, 20000, 1.2), (64, 3000, 1.0), (3, 50, 0.5)):
+        lengths = Counter(min(size, max(1, int(rng.lognormvariate(6 if size > 100 else 2, spread)))) for _ in range(count))
+        runs = packing.places(spark.createDataFrame(sorted(lengths.items()), "length long, n long"), size).collect()
+        ranks = {k: sorted(x for r in runs if r.length == k for x in range(r.rank, r.rank + r.n)) for k in lengths}
+        assert ranks == {k: list(range(n)) for k, n in lengths.items()}
+        held: dict[int, list] = {}
+        for r in runs:
+            for i in range(r.n):
+                held.setdefault(r.seq + i, []).append((r.offset, r.length))
+        for parts in held.values():
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= size
+        assert len(held) <= 1.001 * best_fit_decreasing(lengths, size) + 1
 
 
 def brute_components(sets, threshold=80):
