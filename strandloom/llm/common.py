@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -15,25 +14,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, as a whole URI.
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests in local mode) a fresh local
-    folder is used and set as the checkpoint directory.
+    It is the session's ``spark.checkpoint.dir``; a bare path lies in the session's default file system. Where it is
+    unset a fresh local folder is used and set as the checkpoint directory, in local mode only.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            root = jvm_dir.get()
-        else:
+        folder = context._jsc.sc().getCheckpointDir()
+        if folder.isDefined():
+            root = folder.get()
+        elif context._jsc.sc().isLocal():
             root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+            context.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/strandloom-{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name of its own below the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this application has staged. Results that were not written elsewhere are gone then."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

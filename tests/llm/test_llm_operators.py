@@ -487,6 +487,17 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read_back(df.limit(0)).collect() == []
 
 
+def test_shared_folders(spark):
+    from types import SimpleNamespace
+
+    folder = shared_folder(spark, "x")
+    assert folder.startswith("file:/") and spark.sparkContext.applicationId in folder and folder != shared_folder(spark, "x")
+    # Off local mode a folder must be named.
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False), isLocal=lambda: False))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(_jsc=jsc)), "x")
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert token_files.encode_and_read_back(none).count() == 0
