@@ -1,7 +1,7 @@
 """Barcodes: decoding, packed keys, distance, blocking masks and reach.
 
-Clean tags are read by one pattern in the JVM. Other tags are aligned to the 28-base pattern once per distinct tag: the
-dynamic programme runs over its cells in a loop and over the tags of an Arrow batch as vectors.
+Clean tags are read by one pattern in the JVM. Other tags are aligned to the 28-base pattern, once per distinct tag of a
+task: the dynamic programme runs over its cells in a loop and over the tags of an Arrow batch as vectors.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,8 @@ EDIT, MAX_LENGTH, MAX_BLOCK = 32, 48, 6
 #: Numbers of barcodes within d edits, of 3^16.
 BALL = (1, 33, 513, 4993)
 SPACE = 3**16
-DECODED = "rx string, b0 string, b1 string, b2 string, b3 string, edits int"
+#: Tags of a task that are remembered.
+MAX_SEEN = 200_000
 
 
 def _block_of_base() -> list[int]:
@@ -99,24 +100,28 @@ def align(tags: list[str], max_edits: int = 5) -> list[tuple | None]:
 
 
 def decode(records: DataFrame, column: str = "rx", max_edits: int = 5) -> DataFrame:
-    """``records`` with b0..b3 and edits from the tag in ``column``; nulls where it is missing or undecodable."""
+    """``records`` with b0..b3 and edits from the tag in ``column``; nulls where it is missing or undecodable.
+
+    One pass over the input: only the tags that are not clean go through Python, a column of an Arrow batch at a time.
+    """
     tag = F.upper(F.col(column))
     clean = tag.rlike(CLEAN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tags = batch.column(0).to_pylist()
-            found = [(t, *r) for t, r in zip(tags, align(tags, max_edits), strict=True) if r]
-            columns = list(zip(*found, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string()] * 5 + [pa.int32()], strict=True)], names=[x.split()[0] for x in DECODED.split(", ")])
+    @F.pandas_udf("b0 string, b1 string, b2 string, b3 string, edits int")
+    def aligned(tags: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple | None] = {}
+        for batch in tags:
+            new = [t for t in batch.dropna().unique() if t not in seen]
+            if len(seen) > MAX_SEEN:
+                seen.clear()
+                new = list(batch.dropna().unique())
+            seen.update(zip(new, align(new, max_edits), strict=True))
+            nothing = (None,) * 5
+            yield pd.DataFrame([(t is not None and seen.get(t)) or nothing for t in batch], columns=["b0", "b1", "b2", "b3", "edits"]).astype({"edits": "Int32"})
 
-    tagged = records.withColumn("_tag", tag)
-    hard = tagged.filter(F.col("_tag").isNotNull() & ~clean).select(F.col("_tag").alias("rx")).distinct().mapInArrow(run, DECODED)
-    hard = hard.select(F.col("rx").alias("_tag"), *[F.col(c).alias("_" + c) for c in ("b0", "b1", "b2", "b3", "edits")])
-    easy = F.col("_tag").rlike(CLEAN)
-    block = lambda k: F.when(easy, F.substring("_tag", 4 + 6 * k, 4)).otherwise(F.col(f"_b{k}"))
-    out = tagged.join(hard, "_tag", "left")
-    return out.select(*[F.col(c) for c in records.columns], *[block(k).alias(f"b{k}") for k in range(4)], F.when(easy, F.lit(0)).otherwise(F.col("_edits")).alias("edits"))
+    hard = records.withColumn("_hard", aligned(F.when(~clean, tag)))
+    block = lambda k: F.when(clean, F.substring(tag, 4 + 6 * k, 4)).otherwise(F.col("_hard")[f"b{k}"])
+    return hard.select(*[F.col(c) for c in records.columns], *[block(k).alias(f"b{k}") for k in range(4)], F.when(clean, F.lit(0)).otherwise(F.col("_hard")["edits"]).alias("edits"))
 
 
 def is_damaged(blocks: list[Column]) -> Column:
@@ -130,9 +135,8 @@ def packed_key(blocks: list[Column], damaged: Column) -> Column:
     """The 61-bit key: per block its length, then its bases (the first lowest); block 3 highest; then the damage bit."""
     total = F.when(damaged, F.lit(1 << 60)).otherwise(F.lit(0).cast("long"))
     for k, b in enumerate(blocks):
-        value = F.length(b).cast("long") * 4096
-        for i in range(MAX_BLOCK):
-            value = value + F.when(F.length(b) > i, (F.instr(F.lit("ACGT"), F.substring(b, i + 1, 1)) - 1).cast("long") * 4**i).otherwise(0)
+        # The bases as digits to base 4, the first one last.
+        value = F.length(b).cast("long") * 4096 + F.conv(F.translate(F.reverse(b), "ACGT", "0123"), 4, 10).cast("long")
         total = total + value * (1 << (15 * k))
     return total
 

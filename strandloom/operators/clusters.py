@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -12,12 +12,10 @@ from .graph import cut_lineage, min_label
 
 
 def directional(weighted: DataFrame, edges: DataFrame) -> DataFrame:
-    """Undamaged nodes with rank, label (the best rank that reaches them) and seed (that rank's node)."""
-    rank = F.row_number().over(Window.partitionBy("locus_id").orderBy(F.desc("weight"), "umi_key", "amin")).cast("long")
-    ranked = weighted.withColumn("rank", rank)
-    labels = min_label(ranked.select("locus_id", "node_id", "rank"), edges).select("locus_id", "node_id", "label")
-    seeds = ranked.select("locus_id", F.col("rank").alias("label"), F.col("node_id").alias("seed"))
-    return ranked.join(labels, ["locus_id", "node_id"]).join(seeds, ["locus_id", "label"])
+    """Undamaged nodes with seed: the first by (weight descending, key, amin) of all nodes that reach them."""
+    rank = F.struct((-F.col("weight")).alias("less"), "umi_key", "amin", F.col("node_id").alias("seed"))
+    labels = min_label(weighted.select("locus_id", "node_id", rank.alias("rank")), edges).select("locus_id", "node_id", F.col("label.seed").alias("seed"))
+    return weighted.join(labels, ["locus_id", "node_id"])
 
 
 def place_leftovers(pdf: pd.DataFrame) -> pd.DataFrame:

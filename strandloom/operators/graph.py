@@ -20,23 +20,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The smallest ``rank`` among all nodes that reach each node.
+    """The smallest ``rank`` (any type that has an order) among all nodes that reach each node.
 
     nodes: (locus_id, node_id, rank); edges: directed (locus_id, src, dst). Returns nodes with a column label. Only
-    nodes with an incoming edge take part in the rounds.
+    nodes with edges take part in the rounds, and only labels that changed are offered again.
     """
-    edges = cut_lineage(edges.select("locus_id", "src", "dst").distinct())
     key = ["locus_id", "node_id"]
+    edges = cut_lineage(edges.select("locus_id", "src", "dst").distinct())
     touched = edges.select("locus_id", F.col("src").alias("node_id")).union(edges.select("locus_id", F.col("dst").alias("node_id"))).distinct()
-    labels = cut_lineage(nodes.join(touched, key).select(*key, F.col("rank").alias("label")))
-    while True:
-        offered = labels.withColumnRenamed("node_id", "src").join(edges, ["locus_id", "src"]).groupBy("locus_id", F.col("dst").alias("node_id")).agg(F.min("label").alias("offer"))
-        moved = labels.join(offered, key, "left").select(*key, F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved"))
-        moved = cut_lineage(moved)
-        labels = moved.drop("moved")
-        if not moved.filter("moved").take(1):
-            break
-    return nodes.join(labels, key, "left").withColumn("label", F.coalesce("label", "rank"))
+    labels = cut_lineage(nodes.join(touched, key).select(*key, F.col("rank").alias("label"), F.lit(True).alias("moved")))
+    while labels.filter("moved").take(1):
+        offered = labels.filter("moved").select("locus_id", F.col("node_id").alias("src"), "label").join(edges, ["locus_id", "src"]).groupBy("locus_id", F.col("dst").alias("node_id")).agg(F.min("label").alias("offer"))
+        better = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
+        labels = cut_lineage(labels.drop("moved").join(offered, key, "left").select(*key, F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("moved")))
+    return nodes.join(labels.drop("moved"), key, "left").withColumn("label", F.coalesce("label", "rank"))
 
 
 def undirected_min(edges: DataFrame) -> DataFrame:

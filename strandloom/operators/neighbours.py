@@ -9,23 +9,25 @@ from ..config import Config
 from ..functions import umi
 from .nodes import MIN_BRIDGE_CLIP
 
-SIDES = ("node_id", "b0", "b1", "b2", "b3", "cnt", "amin", "amax", "max_clip5", "alts", "strand", "own_reach", "damaged", "density")
+SIDES = ("node_id", "b0", "b1", "b2", "b3", "cnt", "amin", "amax", "max_clip5", "alts", "strand", "own_reach", "damaged", "density", "weight")
 
 
 def density(nodes: DataFrame, config: Config) -> DataFrame:
     """``nodes`` with density: undamaged nodes of the locus whose amin lies within pos_tol of the node's anchors.
 
-    Counted by one running sum over positions: nodes are events, and each node asks twice.
+    A difference of two running counts. These run over distinct positions, of which a deep locus has no more than others.
     """
-    whole = (F.col("strand") == ".") | F.lit(not config.positions)
-    total = F.count(F.when(~F.col("damaged"), 1)).over(Window.partitionBy("locus_id"))
-    rows = nodes.withColumn("_all", total)
-    point = nodes.filter(~F.col("damaged")).select("locus_id", F.col("amin").alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("node_id"), F.lit(0).alias("sign"))
-    below = nodes.select("locus_id", (F.col("amin") - config.pos_tol).alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("one"), "node_id", F.lit(-1).alias("sign"))
-    upto = nodes.select("locus_id", (F.col("amax") + config.pos_tol).alias("at"), F.lit(2).alias("turn"), F.lit(0).alias("one"), "node_id", F.lit(1).alias("sign"))
-    seen = F.sum("one").over(Window.partitionBy("locus_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
-    counted = point.union(below).union(upto).withColumn("seen", seen).filter("sign <> 0").groupBy("locus_id", "node_id").agg(F.sum(F.col("seen") * F.col("sign")).alias("_near"))
-    return rows.join(counted, ["locus_id", "node_id"]).withColumn("density", F.when(whole, F.col("_all")).otherwise(F.col("_near"))).drop("_all", "_near")
+    total = nodes.filter(~F.col("damaged")).groupBy("locus_id").agg(F.count("*").alias("_all"))
+    if not config.positions:
+        return nodes.join(total, "locus_id", "left").withColumn("density", F.coalesce("_all", F.lit(0))).drop("_all")
+    below, upto = F.col("amin") - config.pos_tol - 1, F.col("amax") + config.pos_tol
+    counted = nodes.select("locus_id", "damaged", F.explode(F.array(F.struct(F.col("amin").alias("at"), F.when(F.col("damaged"), 0).otherwise(1).alias("one")), F.struct(below.alias("at"), F.lit(0).alias("one")), F.struct(upto.alias("at"), F.lit(0).alias("one")))).alias("x"))
+    at = counted.groupBy("locus_id", F.col("x.at").alias("at")).agg(F.sum("x.one").alias("one"))
+    running = at.select("locus_id", "at", F.sum("one").over(Window.partitionBy("locus_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("seen"))
+    side = lambda name: running.select("locus_id", F.col("at").alias("_" + name), F.col("seen").alias("_seen_" + name))
+    out = nodes.withColumn("_below", below).withColumn("_upto", upto).join(side("below"), ["locus_id", "_below"]).join(side("upto"), ["locus_id", "_upto"]).join(total, "locus_id", "left")
+    near = F.when(F.col("strand") == ".", F.coalesce("_all", F.lit(0))).otherwise(F.col("_seen_upto") - F.col("_seen_below"))
+    return out.withColumn("density", near).select(*nodes.columns, "density")
 
 
 def compatible(a, b, config: Config) -> Column:
@@ -42,17 +44,24 @@ def compatible(a, b, config: Config) -> Column:
 
 def keyed(nodes: DataFrame, sizes: Column) -> DataFrame:
     """A row per way to keep as many blocks as each entry of ``sizes`` (an array of numbers of kept blocks) says."""
-    ways = F.array(*[F.struct(F.lit(k).alias("kept"), F.lit(sum(1 << i for i in m)).alias("mask"), F.concat_ws("|", *[F.col(f"b{i}") for i in m]).alias("blocks")) for k in (1, 2, 3, 4) for m in umi.masks(k)])
+    ways = F.array(*[F.struct(F.lit(k).alias("kept"), F.lit(sum(1 << i for i in m)).alias("mask"), F.xxhash64(*[F.col(f"b{i}") for i in m]).alias("blocks")) for k in (1, 2, 3, 4) for m in umi.masks(k)])
     return nodes.withColumn("_way", F.explode(F.filter(ways, lambda w: F.array_contains(sizes, w["kept"])))).withColumn("mask", F.col("_way.mask")).withColumn("blocks", F.col("_way.blocks")).drop("_way")
 
 
 def pairs(left: DataFrame, right: DataFrame, left_sizes: Column, right_sizes: Column, same: bool) -> DataFrame:
-    """Pairs of nodes (u.*, v.*) of a locus that share enough whole blocks, with dist; each pair once."""
-    side = lambda d, sizes, name: keyed(d, sizes).select("locus_id", "mask", "blocks", F.struct(*SIDES).alias(name))
+    """Pairs of nodes (u.*, v.*) of a locus that share enough whole blocks, with dist; each pair once.
+
+    A pair meets under every mask of shared blocks that both sides were spread by. It is kept under one of them, that of
+    all its shared blocks or, where all four are equal, of the first three; only whole barcodes are spread by the mask of
+    all four, and by no other then. This also drops what meets by the hash of the blocks alone.
+    """
+    side = lambda d, sizes, name: keyed(d, sizes).select("locus_id", "mask", "blocks", F.struct(*[c for c in SIDES if c in d.columns]).alias(name))
     met = side(left, left_sizes, "u").join(side(right, right_sizes, "v"), ["locus_id", "mask", "blocks"])
+    shared = sum((F.when(F.col(f"u.b{i}") == F.col(f"v.b{i}"), 1 << i).otherwise(0) for i in range(4)), F.lit(0))
+    own = F.when(shared == 15, F.when(F.col("mask") == 15, 15).otherwise(7)).otherwise(shared)
+    met = met.filter(F.col("mask") == own)
     if same:
         met = met.filter(F.col("u.node_id") < F.col("v.node_id"))
-    met = met.withColumn("_u", F.col("u.node_id")).withColumn("_v", F.col("v.node_id")).dropDuplicates(["locus_id", "_u", "_v"]).drop("_u", "_v")
     return met.withColumn("dist", umi.distance([F.col(f"u.b{i}") for i in range(4)], [F.col(f"v.b{i}") for i in range(4)]))
 
 
@@ -91,24 +100,23 @@ def weights(nodes: DataFrame, credited: DataFrame) -> DataFrame:
 
 
 def neighbour_pairs(nodes: DataFrame, config: Config) -> DataFrame:
-    """Undamaged pairs (u, v) within umi_dist whose positions are compatible, before the weight and density rules."""
+    """Undamaged pairs (u, v) whose positions are compatible and whose distance both reach, before the rules of weight.
+
+    The reach falls with density, so that of both is the reach in the denser one's surroundings.
+    """
     if config.umi_dist <= 0:
         sizes = F.array(F.lit(4))
-        return pairs(nodes, nodes, sizes, sizes, same=True).filter((F.col("dist") <= 0) & compatible(_side("u"), _side("v"), config)).limit(0)
-    # A pair two or more apart is gated by its denser node, so both must reach that far.
+        return pairs(nodes, nodes, sizes, sizes, same=True).filter(F.lit(False))
     sizes = kept_for(F.col("own_reach"))
     met = pairs(nodes, nodes, sizes, sizes, same=True)
-    return met.filter((F.col("dist") <= min(config.umi_dist, 3)) & compatible(_side("u"), _side("v"), config))
+    return met.filter((F.col("dist") <= F.least("u.own_reach", "v.own_reach")) & compatible(_side("u"), _side("v"), config))
 
 
 def directed_edges(weighted: DataFrame, config: Config) -> DataFrame:
     """(locus_id, src, dst, dist): u to v if weight(u) >= 2 weight(v) - 1, within the reach of the denser node."""
     met = neighbour_pairs(weighted, config)
-    w = weighted.select("locus_id", "node_id", "weight")
-    for side in ("u", "v"):
-        met = met.withColumn("node_id", F.col(f"{side}.node_id")).join(w.withColumnRenamed("weight", f"w{side}"), ["locus_id", "node_id"]).drop("node_id")
-    gate = umi.reach(config.umi_dist, F.greatest("u.density", "v.density"), config.collision_budget)
-    met = met.filter((F.col("dist") < 2) | (F.col("dist") <= gate) & (F.least("wu", "wv") <= 2))
+    met = met.withColumn("wu", F.col("u.weight")).withColumn("wv", F.col("v.weight"))
+    met = met.filter((F.col("dist") < 2) | (F.least("wu", "wv") <= 2))
     one = lambda a, b: F.when(F.col("w" + a) >= 2 * F.col("w" + b) - 1, F.struct(F.col(a + ".node_id").alias("src"), F.col(b + ".node_id").alias("dst")))
     edge = F.explode(F.array_compact(F.array(one("u", "v"), one("v", "u"))))
     return met.select("locus_id", "dist", edge.alias("e")).select("locus_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), "dist")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .graph import undirected_min
+from .graph import cut_lineage, undirected_min
 
 MIN_BRIDGE_CLIP = 5
 
@@ -24,16 +24,20 @@ def bridges(reads: DataFrame, config: Config) -> DataFrame:
     """(locus_id, umi_key, a, b): islands that a skipped short first exon joins."""
     if not config.positions:
         return reads.select("locus_id", "umi_key", F.col("island").alias("a"), F.col("island").alias("b")).limit(0)
-    alts = reads.filter("alt_anchor is not null and strand <> '.'").select("locus_id", "umi_key", F.col("island").alias("a"), "alt_anchor", "alt_exon")
-    others = reads.select("locus_id", "umi_key", F.col("island").alias("b"), "anchor", "clip5")
+    # Bins as wide as the tolerance, so that only what is near meets, however deep a barcode is.
+    width = max(1, config.pos_tol)
+    bin_of = lambda c: F.floor(F.col(c) / width)
+    alts = reads.filter("alt_anchor is not null and strand <> '.'").select("locus_id", "umi_key", F.col("island").alias("a"), "alt_anchor", "alt_exon").distinct()
+    alts = alts.withColumn("_bin", F.explode(F.array(*[bin_of("alt_anchor") + F.lit(i) for i in (-1, 0, 1)])))
+    others = reads.groupBy("locus_id", "umi_key", F.col("island").alias("b"), "anchor").agg(F.max("clip5").alias("clip5")).withColumn("_bin", bin_of("anchor"))
     near = F.abs(F.col("anchor") - F.col("alt_anchor")) <= config.pos_tol
     clipped = F.col("clip5") >= F.greatest(F.floor(F.col("alt_exon") / 2), F.lit(MIN_BRIDGE_CLIP))
-    return alts.join(others, ["locus_id", "umi_key"]).filter(near & clipped & (F.col("a") != F.col("b"))).select("locus_id", "umi_key", "a", "b").distinct()
+    return alts.join(others, ["locus_id", "umi_key", "_bin"]).filter(near & clipped & (F.col("a") != F.col("b"))).select("locus_id", "umi_key", "a", "b").distinct()
 
 
 def nodes(reads: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(reads with node_id, nodes). node_id counts from 1 within the locus by key and first read."""
-    joined = linked(reads, config)
+    joined = cut_lineage(linked(reads, config))
     edges = bridges(joined, config).withColumn("grp", F.struct("locus_id", "umi_key"))
     # Bridges are rare; without any the rounds of label propagation are left out.
     if config.positions and joined.filter("alt_anchor is not null").take(1) and edges.take(1):
@@ -48,7 +52,11 @@ def nodes(reads: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     )
     # Sorted by position, then exon: the first of each position is its shortest exon.
     alts = F.filter("_alts", lambda x, i: (i == 0) | (F.get("_alts", i - 1)["pos"] != x["pos"]))
-    ids = F.row_number().over(Window.partitionBy("locus_id").orderBy("umi_key", "_first"))
-    table = grouped.withColumn("alts", alts).withColumn("node_id", ids.cast("long")).drop("_alts", "_first")
+    # Numbered within ranges of keys (their highest block) and offset by the ranges before: a deep locus is many tasks.
+    ranged = cut_lineage(grouped.withColumn("alts", alts).withColumn("_part", F.shiftright("umi_key", 45)).drop("_alts"))
+    before = F.sum("n").over(Window.partitionBy("locus_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("locus_id", "_part").agg(F.count("*").alias("n")).select("locus_id", "_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    ids = F.row_number().over(Window.partitionBy("locus_id", "_part").orderBy("umi_key", "_first"))
+    table = ranged.withColumn("_inner", ids).join(offsets, ["locus_id", "_part"]).withColumn("node_id", (F.col("_base") + F.col("_inner")).cast("long")).drop("_first", "_part", "_inner", "_base")
     marked = joined.join(table.select("locus_id", "umi_key", "component", "node_id"), ["locus_id", "umi_key", "component"])
     return marked, table

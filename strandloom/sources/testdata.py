@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions import geometry as geo
 from ..functions import umi
 from ..operators import filters
+from ..operators.graph import cut_lineage
 
 READS_SQL = """
 with e0 as (
@@ -54,6 +55,9 @@ GENES = 40
 
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    # A small file is one partition; what is derived from it is not small.
+    if events.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        events = events.repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(READS_SQL.replace("from events)", "from {events})"), events=events)
 
 
@@ -71,7 +75,8 @@ def records(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
 
 
 def used_reads(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
-    return filters.used(records(spark, sf_dir, config), config)
+    # Through a checkpoint: a filter on what is costly to derive would derive it again.
+    return filters.used(cut_lineage(records(spark, sf_dir, config)), config)
 
 
 def features(spark: SparkSession) -> DataFrame:
@@ -79,6 +84,7 @@ def features(spark: SparkSession) -> DataFrame:
     g = spark.range(GENES).select(F.col("id").alias("g"))
     strand = F.when(F.col("g") % 7 == 6, ".").when(F.col("g") % 2 == 0, "+").otherwise("-")
     rows = g.select("g", (F.col("g") % 3).alias("tid"), strand.alias("strand"), (10000 + 5000 * F.col("g")).alias("at"))
-    exon = lambda k, lo, hi: F.struct(F.lit(k).alias("k"), (F.col("at") + lo).alias("start"), (F.col("at") + hi).alias("end"))
-    out = rows.select("g", "tid", "strand", F.explode(F.array(exon(0, 0, 100), exon(1, 100, 150), exon(2, 250, 1000))).alias("x"))
-    return out.select((F.col("g") * 3 + F.col("x.k")).alias("line"), "tid", F.lit("exon").alias("feature"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), "strand", F.format_string("G%d", "g").alias("gene_id"), F.format_string("T%d", "g").alias("tx_id"))
+    exon = lambda k, lo, hi, tx: F.struct(F.lit(k).alias("k"), (F.col("at") + lo).alias("start"), (F.col("at") + hi).alias("end"), F.lit(tx).alias("tx"))
+    # A long and a short transcript.
+    out = rows.select("g", "tid", "strand", F.explode(F.array(exon(0, 0, 100, "T"), exon(1, 100, 150, "T"), exon(2, 250, 1000, "T"), exon(3, 0, 150, "S"), exon(4, 250, 450, "S"))).alias("x"))
+    return out.select((F.col("g") * 5 + F.col("x.k")).alias("line"), "tid", F.lit("exon").alias("feature"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), "strand", F.format_string("G%d", "g").alias("gene_id"), F.concat("x.tx", F.col("g").cast("string")).alias("tx_id"))
