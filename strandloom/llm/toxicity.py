@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 MAX_LABELLED = 20_000
 MAX_TERMS = 4096
 #: Terms below this chi-square (p = 0.001) are taken for noise.
@@ -60,8 +62,8 @@ class _Cached(dict):
         return out
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of the sample: at most ``max_labelled`` documents."""
+def labelled_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, terms (distinct hashes), toxic of the sample: at most ``max_labelled`` documents, staged."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Bounded: max_labelled pairs of numbers.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -69,12 +71,41 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = _Cached(term)
         for batch in batches:
-            found = [list({cached[w] for w in (t.as_py() or "").split()} - {None}) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["terms", "toxic"])
+            found = [sorted({cached[w] for w in (t.as_py() or "").split()} - {None}) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "terms", "toxic"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    return staged(rows.mapInArrow(terms, "doc_id long, terms array<long>, toxic int"), "toxicity-sample")
+
+
+def select_terms(sample: DataFrame, total: int, toxic: int, max_terms: int, min_docs: int = 3) -> np.ndarray:
+    """The terms with the largest chi-square of presence against label, counted in Spark: at most ``max_terms`` come here."""
+    counted = sample.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
+    expected = F.col("n") * toxic / total
+    spread = expected * (1 - toxic / total) * (1 - F.col("n") / total) + 1e-9
+    chi = (F.col("pos") - expected) * (F.col("pos") - expected) / spread
+    best = counted.filter((F.col("n") >= min_docs) & (F.col("n") < total)).withColumn("chi", chi).filter(F.col("chi") > MIN_CHI_SQUARE)
+    return np.array(sorted(r.term for r in best.orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()), np.int64)
+
+
+def sample_rows(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The places of each sample document's terms in ``terms``, and the labels: a few hundred numbers a document at most."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column(1):
+                own = np.asarray(x.values, np.int64)
+                at = np.minimum(np.searchsorted(terms, own), max(len(terms) - 1, 0))
+                found.append((at[terms[at] == own] if len(terms) else at[:0]).astype(np.int16))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int16())), batch.column(2)], names=["doc_id", "places", "toxic"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    got = rows.mapInArrow(terms, "terms array<long>, toxic int").toArrow()
-    return [np.asarray(x.values) for x in got.column("terms")], got.column("toxic").to_numpy().astype(float)
+    got = sample.mapInArrow(places, "doc_id long, places array<short>, toxic int").toArrow()
+    rows = [np.asarray(x.values, np.int64) for x in got.column("places")]
+    ids, y = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy().astype(float)
+    # In a fixed order, however the sample was dealt out.
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], rows[i].tolist()))
+    return [rows[i] for i in order], y[order]
 
 
 class Model:
@@ -91,36 +122,9 @@ class Model:
         return 1.0 / (1.0 + math.exp(-min(60.0, max(-60.0, self.logit(index)))))
 
 
-def select_terms(docs: list[np.ndarray], y: np.ndarray, max_terms: int, min_docs: int = 3) -> np.ndarray:
-    """The terms with the largest chi-square of presence against label."""
-    # Counted by sorting twice, without an inverse index: the driver holds little more than the sample itself.
-    count = lambda some: np.unique(np.concatenate([*some, np.zeros(0, np.int64)]), return_counts=True)
-    terms, n = count(docs)
-    toxic_terms, toxic_n = count([d for d, label in zip(docs, y, strict=True) if label])
-    n, pos = n.astype(float), np.zeros(len(terms))
-    pos[np.searchsorted(terms, toxic_terms)] = toxic_n
-    total, toxic = float(len(y)), float(y.sum())
-    expected = n * toxic / total
-    spread = expected * (1 - toxic / total) * (1 - n / total) + 1e-9
-    chi = np.where((n >= min_docs) & (n < total), (pos - expected) ** 2 / spread, 0.0)
-    order = np.argsort(-chi, kind="stable")[:max_terms]
-    return np.sort(terms[order[chi[order] > MIN_CHI_SQUARE]])
-
-
-def train(docs: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> Model:
-    """AdaGrad on the logistic loss, in a fixed order of mini-batches."""
-    toxic = float(y.sum())
-    if not len(y) or toxic in (0.0, float(len(y))):
-        share = toxic / len(y) if len(y) else 0.0
-        bias = 60.0 if share == 1.0 else -60.0
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), bias)
-    terms = select_terms(docs, y, max_terms)
-    m = len(terms)
-    rows = []
-    for d in docs:
-        at = np.searchsorted(terms, d)
-        at[at == m] = 0
-        rows.append(at[terms[at] == d] if m else np.zeros(0, np.int64))
+def train(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> Model:
+    """AdaGrad on the logistic loss, in a fixed order of mini-batches; ``rows`` are places in ``terms``."""
+    toxic, m = float(y.sum()), len(terms)
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(m), rng.normal(0, 0.02, (m, factors)), math.log(toxic / (len(y) - toxic))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
@@ -150,7 +154,12 @@ def train(docs: list[np.ndarray], y: np.ndarray, max_terms: int = MAX_TERMS, fac
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
-    return train(*labelled_terms(docs, labels, max_labelled), max_terms)
+    sample = labelled_terms(docs, labels, max_labelled)
+    known = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    if known.toxic in (0, known.n):
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 60.0 if known.n and known.toxic else -60.0)
+    terms = select_terms(sample, known.n, known.toxic, max_terms)
+    return train(terms, *sample_rows(sample, terms))
 
 
 def score(docs: DataFrame, model: Model, out_column: str = "score") -> DataFrame:
