@@ -1,10 +1,12 @@
 """WARC archives of pages with a two-level capture index.
 
 ``write_archives`` writes one gzip member per record into ``*.warc.gz`` shards and returns the capture entries;
-``write_index`` sorts the entries by reversed-host URL key (range partitions, so one hot host or URL is spread), packs
-them into compressed blocks and keeps a sparse directory with one row per block; ``lookup`` binary-searches the
-directory, reads one block by its byte range, bisects it, and range-reads the records; ``read_archives`` reads every
-block and then every record by its range.
+``write_index`` sorts the entries by reversed-host URL key (range partitions, so one hot host or URL is spread) and packs
+them into compressed blocks, with a sparse directory of the blocks beside each index file and one file that names the
+index files with their first and last keys. Both are sorted and end with a table of offsets, so ``lookup`` bisects them
+by a few small range reads without Spark, reads the blocks that hold the key one by one, bisects those, and range-reads
+the records; ``read_archives`` reads every block and then every record by its range. A revisit's size and digest are
+those that the response it refers to was read back with.
 
 A record whose payload has at least ``min_dedup_bytes`` bytes and equals that of a smaller ``page_id`` is a revisit
 without payload; others are responses. Defined results: a null html is an empty payload; a null url has the key ``)/``;
@@ -16,8 +18,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +38,8 @@ BLOCK_ENTRIES = 1024
 DATE = "2024-01-01T00:00:00Z"
 ENTRY = "surt string, page_id long, url string, digest string, record_type string, archive string, start long, length long"
 DIRECTORY = "first_key string, last_key string, index_file string, start long, length long, entries int"
+#: Names of the files that lookups bisect.
+SPARSE, TOP = ".sparse", "index-files"
 _WIRE = re.compile("[\x00-\x20\x7f]")
 
 
@@ -126,8 +132,6 @@ def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTR
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out, at, fs, name, blocks = None, 0, None, "", []
-        import itertools
-
         for batch in itertools.chain(batches, [None]):
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else []
             while len(held) >= block_entries or batch is None and held:
@@ -143,10 +147,51 @@ def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTR
         if out is not None:
             out.close()
             publish(fs, path + ".tmp", path)
+            write_sorted(name + SPARSE, [(first, last, start, length) for first, last, _, start, length, _ in blocks])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=[x.split()[0] for x in DIRECTORY.split(", ")])
 
     dealt = entries.repartitionByRange(parallelism(entries.sparkSession), "surt", "page_id").sortWithinPartitions("surt", "page_id")
-    return staged(dealt.mapInArrow(write, DIRECTORY), "warc-directory")
+    directory = staged(dealt.mapInArrow(write, DIRECTORY), "warc-directory")
+    # One row per index file: as many as there are range partitions.
+    files = directory.groupBy("index_file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("first", "last").collect()
+    write_sorted(f"{folder}/{TOP}", [(r["first"], r["last"], r.index_file) for r in files])
+    return directory
+
+
+def write_sorted(uri: str, rows: list[tuple]) -> None:
+    """Rows (first key, last key, ...) in order, then the table of their offsets and their number, for bisection in place."""
+    fs, path = filesystem(uri)
+    data = [json.dumps(r).encode() for r in rows]
+    offsets = [0, *itertools.accumulate(map(len, data))]
+    with fs.open_output_stream(path + ".tmp") as out:
+        out.write(b"".join(data) + struct.pack(f"<{len(offsets) + 1}Q", *offsets, len(rows)))
+    publish(fs, path + ".tmp", path)
+
+
+class SortedFile:
+    """A file of ``write_sorted``; every access is a range read of one row."""
+
+    def __init__(self, uri: str):
+        fs, path = filesystem(uri)
+        self.file, self.size = fs.open_input_file(path), fs.get_file_info(path).size
+        self.n = struct.unpack("<Q", self.file.read_at(8, self.size - 8))[0]
+        self.table = self.size - 8 - 8 * (self.n + 1)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> list:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        start, end = struct.unpack("<2Q", self.file.read_at(16, self.table + 8 * i))
+        return json.loads(self.file.read_at(end - start, start))
+
+    def holding(self, key: str) -> Iterator[list]:
+        """The rows whose keys from first to last include ``key``."""
+        i = bisect.bisect_left(self, key, key=lambda row: row[1])
+        while i < self.n and (row := self[i])[0] <= key:
+            yield row
+            i += 1
 
 
 def _block(name: str, start: int, length: int) -> list[list]:
@@ -217,21 +262,28 @@ def read_archives(directory: DataFrame, with_payload: bool = False) -> DataFrame
     return dealt.mapInArrow(read, ", ".join(f"{n} {kind.get(n, 'long')}" for n in names))
 
 
-def lookup(directory: DataFrame, url: str) -> list[dict]:
-    """All captures of ``url`` (by key): binary search in the sparse directory, one range read per block, one per record."""
+def lookup(folder: str, url: str) -> Iterator[dict]:
+    """All captures of ``url`` (by key), one after another, by the index below ``folder``."""
     key = surt(url)
-    blocks = directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key").collect()
-    out = []
-    for b in blocks:
-        entries = _block(b.index_file, b.start, b.length)
-        keys = [e[0] for e in entries]
-        for e in entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            out += [parse(x) for x in _records(e[5], [(e[6], e[7])])]
-    return out
+    for _, _, name in SortedFile(f"{folder}/{TOP}").holding(key):
+        for _, _, start, length in SortedFile(name + SPARSE).holding(key):
+            entries = _block(name, start, length)
+            for e in entries[bisect.bisect_left(entries, key, key=lambda e: e[0]) : bisect.bisect_right(entries, key, key=lambda e: e[0])]:
+                yield from (parse(x) for x in _records(e[5], [(e[6], e[7])]))
+
+
+def verify_revisits(records: DataFrame) -> None:
+    """Every revisit's size and digest are those of a response with the id it refers to; each claim is looked up once."""
+    claims = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    wrong = claims.join(records.filter("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes"), ["page_id", "payload_digest", "payload_bytes"], "left_anti").take(1)
+    if wrong:
+        raise ValueError(f"a revisit refers to page {wrong[0].page_id}, which has another payload")
 
 
 def archive_and_read_back(pages: DataFrame) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     folder = shared_folder(spark, "warc")
     directory = write_index(write_archives(pages, f"{folder}/archives"), f"{folder}/index")
-    return read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = staged(read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    verify_revisits(found)
+    return found

@@ -481,8 +481,15 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(payload), hashlib.sha256(payload).hexdigest())
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if i in (5, 9) else ("response", None))
     folder = shared_folder(spark, "warc")
-    directory = warc.write_index(warc.write_archives(df, folder + "/a"), folder + "/i", block_entries=2)
-    assert sorted(x["page_id"] for x in warc.lookup(directory, "http://b.example/x?q=1")) == [3, 5]
+    many = df.union(spark.createDataFrame([(100 + i, f"http://{'hot' if i % 2 else f'h{i}'}.example/p", f"<p>{i}</p>", "z") for i in range(60)], df.schema)).union(df.filter("page_id = 9"))
+    warc.write_index(warc.write_archives(many, folder + "/a"), folder + "/i", block_entries=2)
+    for url in ("http://b.example/x?q=1", "http://hot.example/p", "http://a.example", "http://h58.example/p", "http://none.example/"):
+        want = sorted((r.page_id, r.html if r.page_id not in (5, 9) else None) for r in many.collect() if warc.surt(r.url) == warc.surt(url))
+        assert sorted((x["page_id"], x["payload"] and x["payload"].decode()) for x in warc.lookup(folder + "/i", url)) == want
+    records = warc.archive_and_read_back(many)
+    warc.verify_revisits(records)
+    with pytest.raises(ValueError, match="another payload"):
+        warc.verify_revisits(records.withColumn("payload_bytes", F.expr("if(page_id = 3, 1, payload_bytes)")))
     assert warc.surt("https://m.a.example:80/p?q") == "example,a,m)/p?q"
     assert warc.archive_and_read_back(df.limit(0)).collect() == []
 
