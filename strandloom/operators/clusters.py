@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,15 +65,32 @@ def leftovers(nodes: DataFrame, parents: DataFrame, clusters: DataFrame, config:
     return rows.groupBy("locus_id").applyInPandas(place_leftovers, "locus_id long, node_id long, seed long")
 
 
-def assign(reads: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
-    """``reads`` (with node_id) with seed: the node that names their molecule within the locus; and the molecule's barcode."""
+@dataclass
+class Placed:
+    """Where every node went, and the steps on the way: (locus_id, node_id, seed) in ``homes``."""
+
+    homes: DataFrame
+    dense: DataFrame
+    parents: DataFrame
+    edges: DataFrame
+    clusters: DataFrame
+    leftovers: DataFrame
+
+
+def place(nodes: DataFrame, config: Config) -> Placed:
     # Each of these is read by several later steps.
     dense = cut_lineage(nb.with_reach(nb.density(nodes, config), config))
     parents = cut_lineage(nb.credits(dense, config))
     weighted = cut_lineage(nb.weights(dense, parents))
-    clusters = directional(weighted, nb.directed_edges(weighted, config))
+    edges = cut_lineage(nb.directed_edges(weighted, config))
+    clusters = cut_lineage(directional(weighted, edges))
     own = clusters.select("locus_id", "node_id", "seed")
     followers = parents.join(clusters.select("locus_id", F.col("node_id").alias("parent"), "seed"), ["locus_id", "parent"]).select("locus_id", "node_id", "seed")
-    homes = own.union(followers).union(leftovers(dense, parents, clusters, config))
+    left = cut_lineage(leftovers(dense, parents, clusters, config))
+    return Placed(own.union(followers).union(left), dense, parents, edges, clusters, left)
+
+
+def assign(reads: DataFrame, nodes: DataFrame, homes: DataFrame) -> DataFrame:
+    """``reads`` (with node_id) with seed: the node that names their molecule within the locus; and the molecule's barcode."""
     names = nodes.select("locus_id", F.col("node_id").alias("seed"), F.concat("b0", "b1", "b2", "b3").alias("molecule_umi"), F.col("damaged").alias("umi_damaged"))
     return reads.join(homes, ["locus_id", "node_id"]).join(names, ["locus_id", "seed"])

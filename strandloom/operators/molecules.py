@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.geometry import floor_median, pct
+from .filters import REASONS
 from .representative import MOLECULE
 
+#: The rows of the run report in order.
+METRICS = (
+    "total_records", "dropped_unmapped", "dropped_secondary_supplementary", "dropped_low_mapq", "dropped_low_qs", "dropped_no_RX", "dropped_umi_undecodable", "dropped_chimeric_umi_end",
+    "umi_clean", "umi_anchor_repaired", "umi_block_damaged", "umi_block_damaged_pct", "strand_from_TS", "strand_from_ts", "strand_unknown", "reads_used", "bundles", "max_bundle_reads",
+    "umi_nodes", "umi_nodes_damaged", "umi_position_splits", "short_exon_bridges", "directional_merges", "density_gated_edges", "damaged_to_valid", "damaged_attached_beyond_1_edit",
+    "damaged_to_damaged", "damaged_seeds", "molecules_out", "pcr_duplicate_reads", "pcr_duplicate_pct", "singleton_molecules", "cluster_size_p50", "cluster_size_p90", "cluster_size_max",
+    "rep_switched_by_consensus", "rep_disagreements", "full_length_molecules", "full_length_pct", "polya_anchor_molecules", "polya_anchor_pct", "polya_missing_tag_molecules", "full_length_both_signals", "records_written",
+)
+
 
 def summary(reads: DataFrame) -> DataFrame:
     """Pooled facts: tid, strand, anchor (median), n_reads, poly(A) call and length."""
@@ -57,22 +68,42 @@ def size_percentiles(sizes: DataFrame, quantiles=(0.5, 0.9)) -> DataFrame:
     return ran.agg(*[F.coalesce(F.min(F.when(F.col("upto") > rank(q), F.col("n_reads"))), F.lit(0)).alias(f"p{round(q * 100)}") for q in quantiles], F.coalesce(F.max("n_reads"), F.lit(0)).alias("max"))
 
 
-def report(reasons: DataFrame, used: DataFrame, nodes: DataFrame, molecules: DataFrame) -> DataFrame:
-    """(metric, value) rows of the run report; values as text, percentages with at most two decimals."""
-    spark = reasons.sparkSession
-    from .filters import REASONS
+def report(reasons: DataFrame, done, config: Config) -> DataFrame:
+    """(line, metric, value): the rows of the run report in order; values as text, percentages with at most two decimals.
 
+    reasons: all records with drop_reason; done: the ``Result`` of the plan. Every aggregate is one row.
+    """
     n = lambda c: F.count(F.when(c, 1))
-    drops = reasons.agg(F.count("*").alias("total_records"), *[n(F.col("drop_reason") == r).alias(f"dropped_{r}") for r in REASONS])
-    reads = used.agg(n(F.col("edits") == 0).alias("umi_clean"), n((F.col("edits") > 0) & ~F.col("damaged")).alias("umi_anchor_repaired"), n(F.col("damaged")).alias("umi_block_damaged"), F.count("*").alias("reads_used"), F.countDistinct("locus_id").alias("bundles"))
-    largest = used.groupBy("locus_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("max_bundle_reads"))
-    groups = nodes.agg(F.count("*").alias("umi_nodes"), n(F.col("damaged")).alias("umi_nodes_damaged"), (F.count("*") - F.countDistinct("locus_id", "umi_key")).alias("umi_position_splits"))
-    mols = molecules.agg(F.count("*").alias("molecules_out"), n(F.col("n_reads") == 1).alias("singleton_molecules"), n(F.col("polya") == "Y").alias("polya_anchor_molecules"), n(F.col("polya") == "?").alias("polya_missing_tag_molecules"), F.coalesce(F.sum(F.col("switched").cast("long")), F.lit(0)).alias("rep_switched_by_consensus"), F.coalesce(F.sum("disagreements"), F.lit(0)).alias("rep_disagreements"))
-    row = drops.crossJoin(reads).crossJoin(largest).crossJoin(groups).crossJoin(mols).crossJoin(size_percentiles(molecules).select(F.col("p50").alias("cluster_size_p50"), F.col("p90").alias("cluster_size_p90"), F.col("max").alias("cluster_size_max")))
-    row = row.withColumn("pcr_duplicate_reads", F.col("reads_used") - F.least("molecules_out", "reads_used"))
-    shares = {"umi_block_damaged_pct": pct(F.col("umi_block_damaged"), F.col("umi_clean") + F.col("umi_anchor_repaired") + F.col("umi_block_damaged")), "pcr_duplicate_reads_pct": pct(F.col("pcr_duplicate_reads"), F.col("reads_used")), "polya_anchor_pct": pct(F.col("polya_anchor_molecules"), F.col("molecules_out") - F.col("polya_missing_tag_molecules"))}
-    for name, value in shares.items():
-        row = row.withColumn(name, value)
-    text = [F.struct(F.lit(c).alias("metric"), (F.regexp_replace(F.format_string("%.2f", F.col(c)), r"\.?0+$", "") if c in shares else F.col(c).cast("string")).alias("value")) for c in row.columns]
-    # Every aggregate above is one row, so the products are one row.
-    return row.select(F.explode(F.array(*text)).alias("x")).select("x.metric", "x.value")
+    zero = F.lit(0).cast("long")
+    polya = lambda c: n(F.col("polya") == c) if config.full_length else F.max(zero)
+    parts = [
+        reasons.agg(F.count("*").alias("total_records"), *[n(F.col("drop_reason") == r).alias(f"dropped_{r}") for r in REASONS]),
+        done.reads.agg(
+            n(F.col("edits") == 0).alias("umi_clean"), n((F.col("edits") > 0) & ~F.col("damaged")).alias("umi_anchor_repaired"), n((F.col("edits") > 0) & F.col("damaged")).alias("umi_block_damaged"),
+            n(F.col("strand_source") == "TS").alias("strand_from_TS"), n(F.col("strand_source") == "ts").alias("strand_from_fallback"), n(F.col("strand_source") == "unknown").alias("strand_unknown"), F.count("*").alias("reads_used")),
+        done.reads.groupBy("locus_id").count().agg(F.count("*").alias("bundles"), F.coalesce(F.max("count"), zero).alias("max_bundle_reads")),
+        done.nodes.agg(F.count("*").alias("umi_nodes"), n(F.col("damaged")).alias("umi_nodes_damaged"), (F.count("*") - F.countDistinct("locus_id", "umi_key")).alias("umi_position_splits"), (F.sum("islands") - F.count("*")).alias("short_exon_bridges")),
+        done.placed.clusters.agg(n(F.col("node_id") != F.col("seed")).alias("directional_merges")),
+        done.placed.edges.filter("dist >= 2").agg(F.countDistinct("locus_id", F.least("src", "dst"), F.greatest("src", "dst")).alias("density_gated_edges")),
+        done.placed.parents.agg(F.count("*").alias("damaged_to_valid"), n(F.col("dist") >= 2).alias("damaged_attached_beyond_1_edit")),
+        done.placed.leftovers.agg(n(F.col("node_id") != F.col("seed")).alias("damaged_to_damaged"), n(F.col("node_id") == F.col("seed")).alias("damaged_seeds")),
+        done.molecules.agg(
+            F.count("*").alias("molecules_out"), n(F.col("n_reads") == 1).alias("singleton_molecules"), F.sum(F.col("switched").cast("long")).alias("rep_switched_by_consensus"), F.sum("disagreements").alias("rep_disagreements"),
+            n(F.col("fl") == "Y").alias("full_length_molecules"), polya("Y").alias("polya_anchor_molecules"), polya("?").alias("polya_missing_tag_molecules"),
+            (n((F.col("fl") == "Y") & (F.col("polya") == "Y"))).alias("full_length_both_signals")),
+        size_percentiles(done.molecules).select(F.col("p50").alias("cluster_size_p50"), F.col("p90").alias("cluster_size_p90"), F.col("max").alias("cluster_size_max")),
+    ]
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(part)
+    used, out = F.col("reads_used"), F.col("molecules_out")
+    row = row.withColumn("pcr_duplicate_reads", used - F.least(out, used)).withColumn("records_written", F.col("total_records") if config.mode == "mark" else out)
+    shares = {
+        "umi_block_damaged_pct": pct(F.col("umi_block_damaged"), F.col("umi_clean") + F.col("umi_anchor_repaired") + F.col("umi_block_damaged")), "pcr_duplicate_pct": pct(F.col("pcr_duplicate_reads"), used),
+        "full_length_pct": pct(F.col("full_length_molecules"), out), "polya_anchor_pct": pct(F.col("polya_anchor_molecules"), out - F.col("polya_missing_tag_molecules")),
+    }
+    row = row.withColumns(shares)
+    # Column names do not tell upper from lower case.
+    held = lambda c: "strand_from_fallback" if c == "strand_from_ts" else c
+    value = lambda c: F.regexp_replace(F.format_string("%.2f", F.col(c)), r"\.?0+$", "") if c in shares else F.coalesce(F.col(held(c)), zero).cast("string")
+    return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("line"), F.lit(c).alias("metric"), value(c).alias("value")) for i, c in enumerate(METRICS, 1)])).alias("x")).select("x.*")

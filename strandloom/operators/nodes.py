@@ -48,7 +48,7 @@ def nodes(reads: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     alt = F.when(F.col("alt_anchor").isNotNull(), F.struct(F.col("alt_anchor").alias("pos"), F.col("alt_exon").alias("exon")))
     grouped = joined.groupBy("locus_id", "umi_key", "component").agg(
         F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("b3").alias("b3"), F.first("damaged").alias("damaged"), F.first("strand").alias("strand"),
-        F.count("*").alias("cnt"), F.min("anchor").alias("amin"), F.max("anchor").alias("amax"), F.max("clip5").alias("max_clip5"), F.array_sort(F.collect_set(alt)).alias("_alts"), F.min(F.struct("anchor", "ordinal")).alias("_first"),
+        F.count("*").alias("cnt"), F.min("anchor").alias("amin"), F.max("anchor").alias("amax"), F.max("clip5").alias("max_clip5"), F.array_sort(F.collect_set(alt)).alias("_alts"), F.min(F.struct("anchor", "ordinal")).alias("_first"), F.countDistinct("island").alias("islands"),
     )
     # Sorted by position, then exon: the first of each position is its shortest exon.
     alts = F.filter("_alts", lambda x, i: (i == 0) | (F.get("_alts", i - 1)["pos"] != x["pos"]))

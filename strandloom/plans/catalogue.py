@@ -154,7 +154,7 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All used reads with the seeds of their molecules."""
     reads, table = map(cut_lineage, nodes.nodes(_placed(spark, sf_dir), CONFIG))
-    return cut_lineage(clusters.assign(reads, table, CONFIG))
+    return cut_lineage(clusters.assign(reads, table, clusters.place(table, CONFIG).homes))
 
 
 @query(_RAW + """
@@ -423,11 +423,39 @@ def full_length_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.full_length(blocks, annotation.gene_overlaps(blocks, table), annotation.transcripts(found, table), CONFIG.fl_cov, CONFIG.fl_terminal)
 
 
-@query()
+_PCT = r"regexp_replace(format('{{:.2f}}', case when {whole} = 0 then 0.0 else floor(10000.0 * {part} / {whole} + 0.5) / 100 end), '\.?0+$', '')"
+_REPORT = {
+    "total_records": "(select count(*) from rec)",
+    **{f"dropped_{name}": f"(select count(*) from reasons where reason = '{name}')" for name in filters.REASONS},
+    "umi_clean": "(select count(*) from used where edits = 0)", "umi_anchor_repaired": "(select count(*) from used where edits > 0 and not damaged)", "umi_block_damaged": "(select count(*) from used where damaged)",
+    "umi_block_damaged_pct": _PCT.format(part="(select count(*) from used where damaged)", whole="(select count(*) from used)"),
+    "strand_from_TS": "(select count(*) from used where strand <> '.')", "strand_from_ts": "0", "strand_unknown": "(select count(*) from used where strand = '.')",
+    "reads_used": "(select count(*) from used)", "bundles": "(select count(distinct locus_id) from loci)", "max_bundle_reads": "(select max(n) from (select count(*) as n from loci group by locus_id))",
+    "umi_nodes": "(select count(*) from nodes)", "umi_nodes_damaged": "(select count(*) from nodes where damaged)", "umi_position_splits": "(select count(*) - count(distinct (locus_id, umi_key)) from nodes)", "short_exon_bridges": "0",
+    "directional_merges": "(select count(*) from clusters where node_id <> seed)", "density_gated_edges": "(select count(*) from (select distinct locus_id, least(src, dst), greatest(src, dst) from edges where dist >= 2))",
+    "damaged_to_valid": "(select count(*) from credit)", "damaged_attached_beyond_1_edit": "(select count(*) from credit where dist >= 2)",
+    "damaged_to_damaged": "(select count(*) from leftovers where node_id <> seed)", "damaged_seeds": "(select count(*) from leftovers where node_id = seed)",
+    "molecules_out": "(select count(*) from rep)", "pcr_duplicate_reads": "(select (select count(*) from used) - count(*) from rep)",
+    "pcr_duplicate_pct": _PCT.format(part="(select (select count(*) from used) - count(*) from rep)", whole="(select count(*) from used)"),
+    "singleton_molecules": "(select count(*) from rep where n_reads = 1)",
+    "cluster_size_p50": "(select max(n_reads) from ranks where i = floor((n - 1) * 0.5 + 0.5))", "cluster_size_p90": "(select max(n_reads) from ranks where i = floor((n - 1) * 0.9 + 0.5))", "cluster_size_max": "(select max(n_reads) from rep)",
+    "rep_switched_by_consensus": "(select count(*) from rep where plain <> 1)", "rep_disagreements": "(select sum(case when n_reads = 1 then 0 else penalty end)::bigint from rep)",
+    "full_length_molecules": "0", "full_length_pct": "0",
+    "polya_anchor_molecules": "(select count(*) from facts where polya = 'Y')", "polya_anchor_pct": _PCT.format(part="(select count(*) from facts where polya = 'Y')", whole="(select count(*) from facts where polya <> '?')"),
+    "polya_missing_tag_molecules": "(select count(*) from facts where polya = '?')", "full_length_both_signals": "0", "records_written": "(select count(*) from rep)",
+}
+
+
+@query(_MI + f"""facts as ({_SUMMARY}),
+reasons as (select case when (flag & 4) <> 0 or tid < 0 then 'unmapped' when (flag & 2304) <> 0 then 'secondary_supplementary' when mapq < 1 then 'low_mapq' when coalesce(qs, 0) < 0 then 'low_qs'
+  when rx is null then 'no_RX' when has_sa and strand <> '.' and clip5 > 60 then 'chimeric_umi_end' else 'used' end as reason from raw),
+ranks as (select n_reads, row_number() over (order by n_reads) - 1 as i, count(*) over () as n from rep),
+z as (select unnest([{", ".join("{'line': " + str(i + 1) + ", 'metric': '" + m + "', 'value': cast(" + v + " as varchar)}" for i, (m, v) in enumerate(_REPORT.items()))}]) as x)
+select cast(x.line as int) as line, x.metric as metric, x.value as value from z""")
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = filters.drop_reasons(_records(spark, sf_dir), CONFIG)
-    done = deduplicate(reasons.filter("drop_reason is null").drop("drop_reason"), CONFIG)
-    return molecules.report(reasons, done.reads, done.nodes, done.molecules)
+    source = F.when(F.col("strand") == ".", "unknown").otherwise("TS")
+    reasons = filters.drop_reasons(_records(spark, sf_dir).withColumn("strand_source", source), CONFIG)
+    return molecules.report(reasons, deduplicate(reasons.filter("drop_reason is null").drop("drop_reason"), CONFIG), CONFIG)
 
 
 @query(_MI + """t as (select mol, count(*) as copies from used group by mol),

@@ -190,35 +190,63 @@ def retagged(raw: bytes, flag: int, new: list[tuple[str, str, object]]) -> bytes
     return raw[:14] + struct.pack("<H", flag) + raw[16:at] + kept + more
 
 
-def write_bam(records: DataFrame, folder: str, text: str, contigs: list[tuple[str, int]]) -> DataFrame:
-    """Write (ordinal, flag, raw, mi, umi, n_reads) below ``folder``, a BAM file per range of ordinals; returns (part, file).
+def write_bam(records: DataFrame, folder: str, text: str, contigs: list[tuple[str, int]], whole: bool = True) -> DataFrame:
+    """Write (ordinal, flag, raw, tags) below ``folder``, a file per range of ordinals; returns (part, file, n).
 
-    Records with a number get MI, uN and uS. The action on the result writes; files of failed attempts are not listed.
+    ``tags`` (array of name, type, value; null: none) replace this engine's tags of earlier runs. Parts are BAM files of
+    their own, or, if not ``whole``, bodies that ``merge`` joins. The action on the result writes; files of failed attempts
+    are not listed.
     """
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
-    head = head_bytes(text, contigs)
+    head, tail = (head_bytes(text, contigs), EOF) if whole else (b"", b"")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, held, name, fs = None, b"", "", None
+        out, held, name, fs, written = None, bytearray(), "", None, 0
         for batch in batches:
-            for flag, raw, mi, umi, n in zip(*(batch.column(c).to_pylist() for c in ("flag", "raw", "mi", "umi", "n_reads")), strict=True):
+            for flag, raw, tags in zip(*(batch.column(c).to_pylist() for c in ("flag", "raw", "tags")), strict=True):
                 if out is None:
                     fs, base = _open(folder)
                     name = f"{base}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bam"
-                    out, held = fs.open_output_stream(name + ".tmp", compression=None), head
-                record = retagged(raw, flag, [] if mi is None else [("MI", "Z", mi), ("uN", "Z", umi), ("uS", "i", n)])
+                    out, held = fs.open_output_stream(name + ".tmp", compression=None), bytearray(head)
+                record = retagged(raw, flag, [(t["name"], t["type"], int(t["value"]) if t["type"] == "i" else t["value"]) for t in tags or ()])
                 held += struct.pack("<i", len(record)) + record
+                written += 1
                 while len(held) >= 0xFF00:
-                    out.write(_block(held[:0xFF00]))
-                    held = held[0xFF00:]
+                    out.write(_block(bytes(held[:0xFF00])))
+                    del held[:0xFF00]
         if out is not None:
-            out.write((_block(held) if held else b"") + EOF)
+            out.write((_block(bytes(held)) if held else b"") + tail)
             out.close()
             fs.move(name + ".tmp", name)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name])], names=["part", "file"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([written], pa.int64())], names=["part", "file", "n"])
 
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return records.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal").mapInArrow(run, "part int, file string")
+    shaped = records.select("ordinal", "flag", "raw", "tags")
+    return shaped.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal").mapInArrow(run, "part int, file string, n long")
+
+
+def require_end(path: str) -> None:
+    """The file must end with the BGZF end marker."""
+    fs, p = _open(path)
+    size = fs.get_file_info(p).size
+    with fs.open_input_file(p) as f:
+        if size < len(EOF) or f.read_at(len(EOF), size - len(EOF)) != EOF:
+            raise ValueError(f"{path} is cut short: the end marker is missing")
+
+
+def merge(files: list[str], path: str, text: str, contigs: list[tuple[str, int]]) -> None:
+    """One BAM file of bodies in order: header, bodies as they are, end marker; it gets its name when whole."""
+    fs, p = _open(path)
+    with fs.open_output_stream(p + ".tmp", compression=None) as out:
+        head = head_bytes(text, contigs)
+        out.write(b"".join(_block(head[i : i + 0xFF00]) for i in range(0, len(head), 0xFF00)))
+        for name in files:
+            with fs.open_input_stream(name, compression=None) as f:
+                while data := f.read(8 << 20):
+                    out.write(data)
+        out.write(EOF)
+    require_end(path + ".tmp")
+    fs.move(p + ".tmp", p)

@@ -29,7 +29,8 @@ def test_bam_round_trip(spark, tmp_path):
     a, b = bam.read_bam(spark, [path]).orderBy("ordinal").collect()
     assert (a.qname, a.tid, a.pos, a.flag, a.mapq, a.rx, a.ts_dorado, a.ts_mm2, a.qs, a.pt, a.has_sa, a.had_stale) == ("a", 0, 100, 0, 60, "TTTACGA", "+", None, 12.5, 62, False, True)
     assert [(x.op, x.len) for x in a.cigar] == [("S", 3), ("M", 200)] and b.rx is None and b.flag == 16
-    table = bam.read_bam(spark, [path]).withColumn("mi", F.when(F.col("qname") == "b", 1)).withColumn("umi", F.lit("ACGT")).withColumn("n_reads", F.lit(3))
+    own = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(v).alias("value")) for n, t, v in (("MI", "Z", "1"), ("uN", "Z", "ACGT"), ("uS", "i", "3"))])
+    table = bam.read_bam(spark, [path]).withColumn("tags", F.when(F.col("qname") == "b", own))
     files = [r.file for r in bam.write_bam(table, str(tmp_path / "out"), bam.with_program(HEAD, "x", "1", "c\td"), CONTIGS).orderBy("part").collect()]
     back = bam.read_bam(spark, files).orderBy("ordinal").collect()
     assert [r.qname for r in back] == ["a", "b"] and not back[0].had_stale and back[1].had_stale and back[0].rx == "TTTACGA"
