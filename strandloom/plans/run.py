@@ -69,10 +69,10 @@ def output(records: DataFrame, done: Result, config: Config) -> DataFrame:
     facts = ["umi", "n_reads", "same_chain", "disagreements", "polya", "polya_len", "fl", "fl_tx", "genes"]
     table = records.select("ordinal", "flag", "raw", "had_stale")
     if config.mode == "filter":
-        found = molecules.filter_mode(table, done.molecules.select("rep_ordinal", "mi", *facts)).withColumn("is_rep", F.lit(True))
+        found = molecules.filter_mode(table, done.molecules).withColumn("is_rep", F.lit(True))
     else:
         found = molecules.mark_mode(table, done.assigned, done.molecules, "had_stale")
-        found = found.drop("umi", "n_reads").join(done.molecules.select("mi", *facts), "mi", "left")
+    found = found.drop("umi", "n_reads").join(done.molecules.select("mi", *facts), "mi", "left")
     return found.select("ordinal", "flag", "raw", tags(config).alias("tags"))
 
 
