@@ -152,7 +152,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words:
             right = [not again or set_key == set_digest(shingler(text.as_py())) for again, set_key, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["class_id", "text"]).filter(pa.array(right, pa.bool_()))
 
-    marked = wanted.join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", "set_key", F.coalesce("again", F.lit(False)).alias("again"))
+    marked = wanted.join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", F.when(F.col("again"), F.col("set_key")).alias("set_key"), F.coalesce("again", F.lit(False)).alias("again"))
     marked = staged(marked, "wanted-texts")
     known = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
     return docs.join(known, "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(run, "class_id long, text string").dropDuplicates(["class_id"])
