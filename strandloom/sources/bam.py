@@ -1,7 +1,8 @@
 """BAM files as tables, and tables as BAM files.
 
-A BGZF file is a run of gzip members, so a reader streams it through ``zlib`` one member at a time; every file is read by
-one task and many files by many. Written parts are whole BAM files of their own, one per partition, sorted by ordinal, each
+A BGZF file is a run of gzip members, so a reader streams it through ``zlib`` one member at a time, from any member on. Files
+are read in splits: a task reads the records that start in its members, from the first record there to the first one of the
+next split, and fails unless it comes out exactly there. Written parts are whole BAM files of their own, one per partition, sorted by ordinal, each
 closed by the BGZF end marker and given its name only when whole.
 """
 
@@ -11,13 +12,16 @@ import re
 import struct
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the formats.
+MAGIC = b"\x1f\x8b\x08\x04"
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 OPS = "MIDNSHP=X"
 SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
@@ -31,36 +35,61 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def members(stream) -> Iterator[bytes]:
-    """The decompressed members of a BGZF stream."""
-    unzip, data = zlib.decompressobj(31), stream.read(1 << 20)
-    while data:
-        out = unzip.decompress(data)
-        if out:
-            yield out
-        if unzip.eof:
-            data, unzip = unzip.unused_data, zlib.decompressobj(31)
-            data = data or stream.read(1 << 20)
-        else:
-            data = stream.read(1 << 20)
+def members(stream, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(place of the member in the file, place in the member, bytes) of a BGZF stream that stands at place ``at``."""
+    unzip, inner, fed = zlib.decompressobj(31), 0, 0
+    while data := stream.read(1 << 20):
+        while data:
+            out = unzip.decompress(data)
+            fed += len(data) - len(unzip.unused_data)
+            if out:
+                yield at, inner, out
+                inner += len(out)
+            data = unzip.unused_data
+            if unzip.eof:
+                at, inner, fed, unzip = at + fed, 0, 0, zlib.decompressobj(31)
+    if fed:
+        raise ValueError("the file is cut short within a block")
 
 
 class _Bytes:
-    """Exact reads from an iterator of byte strings."""
+    """Exact reads from members, with the place of the next byte."""
+
+    def __init__(self, parts: Iterator[tuple[int, int, bytes]]):
+        self.parts, self.held, self.at, self.done, self.marks = parts, b"", 0, 0, deque()
 
-    def __init__(self, parts: Iterator[bytes]):
-        self.parts, self.held, self.at = parts, b"", 0
+    def more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        rest = self.held[self.at :]
+        self.marks.append((self.done + len(rest), part[0], part[1]))
+        self.held, self.at = rest + part[2], 0
+        return True
 
     def read(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            more = next(self.parts, None)
-            if more is None:
-                break
-            self.held, self.at = self.held[self.at :] + more, 0
+        while len(self.held) - self.at < n and self.more():
+            pass
         out = self.held[self.at : self.at + n]
         self.at += len(out)
+        self.done += len(out)
         return out
 
+    def peek(self, start: int, n: int) -> bytes:
+        """``n`` bytes from ``start`` bytes ahead on, or fewer at the end."""
+        while len(self.held) - self.at < start + n and self.more():
+            pass
+        return self.held[self.at + start : self.at + start + n]
+
+    def place(self, ahead: int = 0) -> tuple[int, int] | None:
+        """(member, place in it) of the byte ``ahead`` bytes ahead; None: there is none."""
+        if not self.peek(ahead, 1):
+            return None
+        while len(self.marks) > 1 and self.marks[1][0] <= self.done:
+            self.marks.popleft()
+        first, member, inner = next(m for m in reversed(self.marks) if m[0] <= self.done + ahead)
+        return member, inner + self.done + ahead - first
+
 
 def read_head(source: _Bytes) -> tuple[str, list[tuple[str, int]]]:
     """Header text and contigs (name, length)."""
@@ -80,6 +109,58 @@ def header(path: str) -> tuple[str, list[tuple[str, int]]]:
         return read_head(_Bytes(members(f)))
 
 
+def first_member(f, at: int, size: int) -> int:
+    """Place of the first whole BGZF block at or after ``at``; ``size``: none."""
+    while at < size:
+        data = f.read_at(min(1 << 17, size - at), at)
+        found = data.find(MAGIC)
+        while found >= 0:
+            block = f.read_at(min(1 << 16, size - at - found), at + found)
+            unzip = zlib.decompressobj(31)
+            try:
+                unzip.decompress(block)
+            except zlib.error:
+                pass
+            else:
+                if unzip.eof and block[12:16] == b"BC\x02\x00" and len(block) - len(unzip.unused_data) == struct.unpack_from("<H", block, 16)[0] + 1:
+                    return at + found
+            found = data.find(MAGIC, found + 1)
+        at += max(1, len(data) - len(MAGIC) + 1)
+    return size
+
+
+def _is_record(source: _Bytes, at: int, n_contigs: int) -> int:
+    """Length of what may be a record ``at`` bytes ahead, with its length field; 0: it is none."""
+    fixed = source.peek(at, 36)
+    if len(fixed) < 36:
+        return 0
+    size, tid, pos, l_name, _, _, n_cigar, _, l_seq, tid2, pos2, _ = struct.unpack("<iiiBBHHHiiii", fixed)
+    if not (-1 <= tid < n_contigs and -1 <= tid2 < n_contigs and pos >= -1 and pos2 >= -1 and l_name and l_seq >= 0 and size >= 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq):
+        return 0
+    name = source.peek(at + 36, l_name)
+    return size + 4 if len(name) == l_name and name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1]) else 0
+
+
+def first_record(f, at: int, size: int, n_contigs: int) -> tuple[int, int]:
+    """Place of the first record that starts in a block at or after ``at``; (size, 0): none.
+
+    A record is taken for one if it and the 15 after it, or all up to the end of the file, have sound fields.
+    """
+    start = first_member(f, at, size)
+    if start == size:
+        return size, 0
+    f.seek(start)
+    source, ahead = _Bytes(members(f, start)), 0
+    while source.peek(ahead, 36):
+        end, good = ahead, 0
+        while good < 16 and (length := _is_record(source, end, n_contigs)):
+            end, good = end + length, good + 1
+        if good == 16 or good and not source.peek(end, 1) and source.peek(end - 1, 1):
+            return source.place(ahead)
+        ahead += 1
+    return size, 0
+
+
 def require_sorted(text: str) -> None:
     """The header must promise coordinate order."""
     first = next((x for x in text.split("\n") if x.startswith("@HD")), "")
@@ -133,32 +214,66 @@ def parse(ordinal: int, raw: bytes) -> tuple:
     )
 
 
-def read_bam(spark: SparkSession, paths: list[str], sorted_only: bool = True) -> DataFrame:
-    """Records of BAM files; ordinals grow within a file and from file to file."""
-    if sorted_only:
-        for p in paths:
-            require_sorted(header(p)[0])
+def records_of(path: str, start: int, end: int, size: int, n_contigs: int) -> Iterator[bytes]:
+    """The records that start in the blocks of a file from ``start`` up to ``end``."""
+    fs, p = _open(path)
+    with fs.open_input_file(p) as f:
+        last = first_record(f, end, size, n_contigs) if end < size else (size, 0)
+        first = first_record(f, start, size, n_contigs) if start else (0, 0)
+        if first >= last:
+            return
+        f.seek(first[0])
+        source = _Bytes(members(f, first[0]))
+        if start:
+            source.read(first[1])
+        else:
+            read_head(source)
+        while (at := source.place() or (size, 0)) < last:
+            length = source.read(4)
+            raw = source.read(struct.unpack("<i", length)[0]) if len(length) == 4 else b""
+            if len(raw) < 32 or len(raw) < struct.unpack("<i", length)[0]:
+                raise ValueError(f"{path} is cut short within a record")
+            yield raw
+        if at != last:
+            raise ValueError(f"the records of {path} do not meet at {last}: read it with split_bytes=0")
+
+
+def read_bam(spark: SparkSession, paths: list[str], sorted_only: bool = True, split_bytes: int = 128 << 20) -> DataFrame:
+    """Records of BAM files; ordinals grow within a file and from file to file.
+
+    Files are read in splits of ``split_bytes`` (0: whole), one task each; an ordinal is the number of the split times
+    2**32 and the record's number in it.
+    """
+    files, splits = [], 0
+    for p in paths:
+        text, contigs = header(p)
+        if sorted_only:
+            require_sorted(text)
+        fs, inner = _open(p)
+        size = fs.get_file_info(inner).size
+        n = -(-size // split_bytes) if split_bytes else 1
+        files.append((splits, n, p, size, len(contigs)))
+        splits += n
     kinds = [pa.int64(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())])), *[pa.string()] * 3, pa.float32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
     names = [re.match(r"\w+", x)[0] for x in re.split(r", (?=\w+ )", RECORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, p = _open(path)
-                with fs.open_input_stream(p, compression=None) as f:
-                    source, rows, n = _Bytes(members(f)), [], 0
-                    read_head(source)
-                    while len(size := source.read(4)) == 4:
-                        rows.append(parse((i << 40) + n, source.read(struct.unpack("<i", size)[0])))
-                        n += 1
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                            rows = []
-                    if rows:
+            for split in batch.to_pylist():
+                end = split["start"] + split_bytes if split_bytes else split["size"]
+                rows = []
+                for n, raw in enumerate(records_of(split["path"], split["start"], min(end, split["size"]), split["size"], split["contigs"])):
+                    rows.append(parse((split["number"] << 32) + n, raw))
+                    if len(rows) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    files = spark.createDataFrame(list(enumerate(paths)), "i long, path string").repartition(max(1, len(paths)))
-    return files.mapInArrow(run, RECORDS)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    table = spark.createDataFrame(files, "first long, n long, path string, size long, contigs int").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    table = table.select((F.col("first") + F.col("k")).alias("number"), "path", (F.col("k") * split_bytes).alias("start"), "size", "contigs")
+    # Out of one partition, so that the rows are dealt one to a task.
+    return table.coalesce(1).repartition(max(1, splits)).mapInArrow(run, RECORDS)
 
 
 def _block(data: bytes) -> bytes:

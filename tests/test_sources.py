@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -54,3 +55,37 @@ def test_gtf(spark, tmp_path):
     path.write_bytes(gzip.compress(text.encode()))
     rows = gtf.read_gtf(spark, str(path), spark.createDataFrame([("chr1", 0)], "name string, tid int")).collect()
     assert [(r.tid, r.feature, r.start, r.end, r.strand, r.gene_id, r.tx_id) for r in rows] == [(0, "exon", 100, 300, "+", "G1", "T1")]
+
+
+def test_bam_splits_meet(spark, tmp_path):
+    rng = random.Random(5)
+    plain = [record(f"r{i}", i % 2, i, 0, b"xxZ" + bytes(rng.choice(b"ACGT") for _ in range(rng.choice((0, 30, 700)))) + b"\0") for i in range(300)]
+    # Whole records within a field of another one: what looks like a record must be followed by more of them.
+    inner = b"xxBC" + struct.pack("<I", 9 * len(plain[0])) + plain[0] * 9
+    nested = record("outer", 1, 400, 0, inner + b"ptC\x3e")
+    records = [*plain[:150], nested, *plain[150:]]
+    long_head = HEAD + "".join(f"@CO\t{'x' * 90} {i}\n" for i in range(40))
+    path = write(tmp_path / "a.bam", records, long_head)
+    size = (tmp_path / "a.bam").stat().st_size
+    want = [r[4:] for r in records]
+    for split in (0, 700, 5000, size):
+        rows = bam.read_bam(spark, [path, path], split_bytes=split).select("ordinal", "raw").collect()
+        assert len({r.ordinal for r in rows}) == len(rows)
+        assert [bytes(r.raw) for r in sorted(rows, key=lambda r: r.ordinal)] == want * 2
+    # Where they lead into the next record they cannot be told apart; then reading fails and loses nothing unseen.
+    misled = write(tmp_path / "b.bam", [*plain[:150], record("outer", 1, 400, 0, inner), *plain[150:]])
+    size = (tmp_path / "b.bam").stat().st_size
+    with pytest.raises(ValueError, match="do not meet"):
+        for start in range(0, size, 300):
+            list(bam.records_of(misled, start, min(start + 300, size), size, 2))
+    empty = write(tmp_path / "empty.bam", [])
+    assert bam.read_bam(spark, [empty], split_bytes=50).count() == 0
+
+
+@pytest.mark.parametrize("cut", [10, 100])
+def test_bam_cut_short_is_an_error(tmp_path, cut):
+    path = write(tmp_path / "a.bam", [record(f"r{i}", 0, i, 0) for i in range(50)])
+    data = (tmp_path / "a.bam").read_bytes()[: -28 - cut]
+    (tmp_path / "a.bam").write_bytes(data)
+    with pytest.raises(ValueError, match="cut short"):
+        list(bam.records_of(path, 0, len(data), len(data), 2))
