@@ -109,3 +109,18 @@ def test_percentiles_are_nearest_rank(spark):
 def test_touching_exons_merge(spark):
     rows = spark.createDataFrame([(0, 1, 0, 10), (0, 1, 10, 20), (0, 1, 25, 30), (0, 2, 5, 6)], "tid int, gene_idx long, s long, e long")
     assert sorted((r.gene_idx, r.s, r.e) for r in annotation.exon_unions(rows).collect()) == [(1, 0, 20), (1, 25, 30), (2, 5, 6)]
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    order = rng.sample(range(150), 150)
+    path = list(zip(order, order[1:], strict=False))
+    calls, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    got = graph.undirected_min(spark.createDataFrame([(g, a, b) for g in (1, 2) for a, b in path] + [(3, 8, 9), (3, 4, 4)], "grp long, a long, b long")).collect()
+    assert {(r.grp, r.node): r.label for r in got} == {(g, n): 0 for g in (1, 2) for n in range(150)} | {(3, 8): 8, (3, 9): 8, (3, 4): 4}
+    assert len(calls) <= 2 + 3 * 9
+    calls.clear()
+    nodes = spark.createDataFrame([(1, i, i) for i in range(150)], "locus_id long, node_id long, rank long")
+    labels = graph.min_label(nodes, spark.createDataFrame([(1, i, i + 1) for i in range(149)], "locus_id long, src long, dst long")).collect()
+    assert {r.label for r in labels} == {0} and len(labels) == 150 and len(calls) <= 2 + 10
