@@ -41,9 +41,11 @@ THRESHOLD = 80
 CACHE_WORDS = 150_000
 #: Ids of this number at most are broadcast to pick the candidates' texts; above it the join is shuffled.
 BROADCAST_IDS = 500_000
-#: Buckets from this size on are compared block by block; a block holds about so many documents.
+#: Buckets from this size on are compared block by block; a block holds about so many documents, or fewer that have about
+#: so many shingles together.
 LARGE = 48
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -188,10 +190,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
 
 
 def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Links (a, b) that join the components within large buckets (key, class_id, component, size).
+    """Links (a, b) that join the components within large buckets (key, class_id, component, size, weight).
 
-    A bucket is cut into blocks of about ``BLOCK`` documents and two blocks meet in a task, which counts all
-    intersections at once as a product of incidence matrices, so no pair of documents becomes a row. What a task
+    A bucket is cut into blocks of about ``BLOCK`` documents, more blocks if the texts are long (weight: the shingles of
+    all its documents), and two blocks meet in a task, which counts all intersections at once as a product of incidence matrices, so no pair of documents becomes a row. What a task
     returns is a spanning forest over the components that it saw: at most one link for each document.
     """
 
@@ -235,7 +237,7 @@ def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: i
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     sets = texts.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text").mapInArrow(shingled, "class_id long, shingles binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("weight") / BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", "component")
@@ -284,7 +286,8 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rare_buckets(buckets: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(key, class_id, n, component) of large buckets' documents by their rare shingles, where several components meet.
+    """(key, size, weight, class_id, n, component) of large buckets' documents by their rare shingles, where several
+    components meet.
 
     Shingles are ordered by the number of these documents that hold them; those of one document alone take places in
     its prefix but make no group.
@@ -303,7 +306,7 @@ def rare_buckets(buckets: DataFrame, texts: DataFrame, words: int, threshold: in
     places = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("shared"))
     prefix = shared.join(nodes, "class_id").filter(places > 0).withColumn("key", F.explode(F.slice("shared", F.lit(1), places.cast("int"))))
     rows = staged(prefix.select(F.col("key.key").alias("key"), "class_id", "n", "component"), "rare-shingles")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("weight")).filter("lo < hi").select("key", "size", "weight")
     return rows.join(mixed, "key")
 
 

@@ -145,9 +145,11 @@ def test_near_duplicates(spark, docs, texts, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize(("documents", "shingles"), [(4, 1 << 19), (512, 300), (512, 1)])
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, documents, shingles):
     monkeypatch.setattr(neardup, "LARGE", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK", documents)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
