@@ -2,7 +2,12 @@
 
 Toxic documents go, one document of each group of near duplicates stays, documents that leak benchmark items go,
 personal data become pseudonyms, and what is left is packed into sequences. All stages but the last return the columns
-of documents.
+of documents, whatever further ones there are.
+
+Defined results: an empty table gives an empty one in every stage. Toxicity judges each row by its text alone, a null or
+empty one as a text without terms. Such texts belong to no group, leak nothing and have no personal data, and are packed
+as an end id. Rows with a null id are neither near duplicates nor leaks. Rows that repeat an id go together as near
+duplicates or leaks; of those with equal texts one stays.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, neardup, packing, pii, toxicity
-from strandloom.llm.common import read_table, staged
+from strandloom.llm.common import free_name, read_table, staged
 
 #: Ids of this number at most are broadcast for an anti join; above it the join is shuffled.
 BROADCAST_IDS = 500_000
@@ -21,14 +26,15 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids``; null ids stay."""
     ids = staged(ids.select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
     gone = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; labels of held-out rows are not learned."""
     labels = read_table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~toxicity.is_held_out("doc_id")))
-    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < 0.5).select(docs.columns)
+    name = free_name("_toxicity", docs.columns)
+    return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = staged(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if not again.take(1):
         return kept
-    repeated = kept.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id").cast("long") == F.col("_again"), "left_semi")
+    of_again = again.withColumnRenamed("doc_id", "_again")
+    repeated = kept.join(of_again, kept["doc_id"].cast("long") == of_again["_again"], "left_semi")
     return _without(kept, again).union(repeated.dropDuplicates(["doc_id", "text"]))
 
 
@@ -51,10 +58,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(docs, kinds_column="_pii_kinds")
+    name = free_name("_pii_kinds", docs.columns)
+    out = pii.pseudonymise(docs, kinds_column=name)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.drop(name)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
