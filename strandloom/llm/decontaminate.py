@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 WINDOW = 8
 MIN_TOKENS = 3
@@ -182,7 +182,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 out += [(i, n, *r) for r in _rows(canonical, text, n, window)] if n else []
             yield _batch(out)
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -254,7 +254,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 yield _batch(out)
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = staged(texts.mapInArrow(run, SCHEMA).withColumnsRenamed({"id": "doc_id", "start": "doc_start", "slot_values": "doc_values", "slot_types": "doc_types"}), "window-hits")
+    hits = staged(texts.mapInArrow(lean(run), SCHEMA).withColumnsRenamed({"id": "doc_id", "start": "doc_start", "slot_values": "doc_values", "slot_types": "doc_types"}), "window-hits")
     templates = F.col("size") - F.size("slot_values") >= F.lit(LITERALS) * F.col("size")
     rare = rare_windows(items.withColumn("template", templates), coverage)
     wanted = hits.select("doc_id", "hash", "size").join(rare, ["hash", "size"]).select("doc_id", F.col("id").alias("item_id")).distinct()

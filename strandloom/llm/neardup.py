@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 BANDS = 36
 ROWS = 5
@@ -139,7 +139,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys.append(sketch.keys(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key string, keys array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_key string, keys array<long>")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
@@ -157,7 +157,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words:
     marked = wanted.join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", F.when(F.col("again"), F.col("set_key")).alias("set_key"), F.coalesce("again", F.lit(False)).alias("again"))
     marked = staged(marked, "wanted-texts")
     known = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
-    return docs.join(known, "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(run, "class_id long, text string").dropDuplicates(["class_id"])
+    return docs.join(known, "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(lean(run), "class_id long, text string").dropDuplicates(["class_id"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
 
     left = pairs.join(texts.withColumnsRenamed({"class_id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"class_id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(check), "a long, b long")
 
 
 def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -236,7 +236,7 @@ def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: i
                 out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    sets = texts.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text").mapInArrow(shingled, "class_id long, shingles binary")
+    sets = texts.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles binary")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("weight") / BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -299,7 +299,7 @@ def rare_buckets(buckets: DataFrame, texts: DataFrame, words: int, threshold: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["class_id", "shingles"])
 
     nodes = staged(buckets.select("class_id", "n", "component").distinct(), "large-members")
-    sets = staged(texts.join(nodes, "class_id", "left_semi").select("class_id", "text").mapInArrow(shingled, "class_id long, shingles array<long>"), "large-sets")
+    sets = staged(texts.join(nodes, "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles array<long>"), "large-sets")
     held = sets.select("class_id", F.explode("shingles").alias("key"))
     common = held.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     shared = held.join(common, "key").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))

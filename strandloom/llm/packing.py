@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, staged
+from .common import lean, parallelism, staged
 from .tokens import default_vocabulary, encoder
 
 MAX_TOKENS = 4096
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         enc.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(pieces), PIECES)
 
 
 def sweep(items: list[list[int]], gaps: list[tuple[int, int, int]]) -> tuple[list[tuple], list[list[int]], list[tuple[int, int, int]]]:

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 KEY = "change-this-key"
 ROUNDS = 8
 WALK = 24
@@ -186,7 +188,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_co
     # One pass tells most texts from those that need the whole pattern; each kind must pass it.
     some = text.rlike("[0-9@]|AKIA|ASIA|[A-Fa-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \\t]{0,3}[=:]")
     found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found_name, new_name = (_free(f"_pii_{x}", docs.columns) for x in ("found", "new"))
+    found_name, new_name = (free_name(f"_pii_{x}", docs.columns) for x in ("found", "new"))
     out = docs.withColumn(found_name, found).withColumn(new_name, F.expr(f"transform(`{found_name}`, m -> {_pseudonym('m', key)})"))
     # Split by the same pattern: one gap more than matches.
     gaps = F.split(text, PATTERN, -1)
@@ -195,10 +197,3 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_co
     kinds = F.array_sort(F.transform(changed, lambda x: x["kind"]))
     made = {column: F.when(F.size(found_name) > 0, joined).otherwise(text), kinds_column: F.coalesce(kinds, F.array().cast("array<string>"))}
     return out.select(*[F.col(f"`{c}`") if c not in made else made[c].alias(c) for c in docs.columns], *[v.alias(c) for c, v in made.items() if c not in docs.columns])
-
-
-def _free(name: str, taken: list[str]) -> str:
-    """``name`` with underscores until no column has it."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 4096
@@ -75,7 +75,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "terms", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    return staged(rows.mapInArrow(terms, "doc_id long, terms array<long>, toxic int"), "toxicity-sample")
+    return staged(rows.mapInArrow(lean(terms), "doc_id long, terms array<long>, toxic int"), "toxicity-sample")
 
 
 def select_terms(sample: DataFrame, total: int, toxic: int, max_terms: int, min_docs: int = 3) -> np.ndarray:
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, out_column: str = "score") -> DataFrame
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     plain = docs.withColumn(name, F.col(name).cast("string")).drop(out_column)
-    return plain.mapInArrow(scored, StructType([*plain.schema.fields, StructField(out_column, DoubleType())]))
+    return plain.mapInArrow(lean(scored), StructType([*plain.schema.fields, StructField(out_column, DoubleType())]))
 
 
 def is_held_out(doc_id) -> F.Column:

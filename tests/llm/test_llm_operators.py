@@ -530,3 +530,41 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(kept) == [*range(300), 1004]
+
+
+PIPELINE_COLUMNS = "doc_id long, text string, lang string, _gone string, _again long, _toxicity string, _pii_kinds string, component_id int"
+
+
+def stage_tables(spark, folder, rows):
+    spark.createDataFrame(rows, PIPELINE_COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, prose(random.Random(8), 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_stages_keep_clashing_columns_ties_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    one, other, very_long = prose(rng, 60), prose(rng, 60), prose(rng, 60_000)
+    rows = [(i, t, "en", f"gone {j}", j, f"score {j}", f"kinds {j}", j) for j, (i, t) in enumerate([(1, one), (1, one), (2, other), (3, other), (4, ""), (5, None), (None, one), (None, None), (6, very_long), (7, "mail a.person@example.com now")])]
+    docs = stage_tables(spark, tmp_path, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = {r.component_id: r for r in out.collect()}
+        dropped = {"near_dedup": ({1, 3}, {0, 3})}.get(name, (set(),))
+        assert set(range(len(rows))) - set(got) in dropped, name
+        for j, r in got.items():
+            assert (r.doc_id, r.lang, r._gone, r._again, r._toxicity, r._pii_kinds) == (rows[j][0], *rows[j][2:7]), name
+            assert r.text == rows[j][1] or name == "pii" and j == 9, name
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).filter("piece = 0").collect()) == sorted(r[0] or 0 for r in rows)
+
+
+def test_pipeline_stages_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = stage_tables(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
