@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import read_table
 from .decontaminate import flag as flag_leaks
 from .html_text import main_texts
-from .licenses import scan as scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import pseudonymise
@@ -49,7 +49,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read_table(spark, sf_dir, "documents"))
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_index": op10_warc_index,
 }
 
+
+def _license_sql() -> str:
+    """Every template at every place of every document: no index, no rarest words."""
+    entries = [(phrase, label, True, (phrase,)) for phrase, label in licenses.BASE] + [(template, label, False, keys) for template, label, keys in licenses.TEMPLATES]
+    postings = []
+    for i, (template, label, exact, keys) in enumerate(entries):
+        words = template.split()
+        spans = [range(at, at + len(key)) for key in map(str.split, keys) for at in range(len(words)) if words[at : at + len(key)] == key]
+        postings += [f"({i}, '{label}', {exact}, {len(words)}, {place}, '{word}', {any(place in span for span in spans)})" for place, word in enumerate(words)]
+    return rf"""
+        with postings(template, label, exact, size, place, word, is_key) as (values {", ".join(postings)}),
+        keyed as (select template, count(*) as n_keys from postings where is_key group by 1),
+        d as (
+            select row_number() over () as row, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from documents),
+        w as (select row, unnest(words) as word, unnest(range(len(words))) as spot from d),
+        met as (
+            select row, template, label, exact, spot - place as start, count(distinct place) / any_value(size) as share, count(distinct place) filter (where is_key) as n_keys
+            from w join postings using (word) group by 1, 2, 3, 4, 5),
+        matches as (select met.* from met join keyed using (template) where case when exact then share = 1 else share >= {licenses.COVERAGE} and met.n_keys = keyed.n_keys end),
+        per as (
+            select row, count(*) filter (where exact) as n_base, min(start) filter (where exact) as first_word, max(start) filter (where exact) as last_word,
+                list_sort(list(distinct label) filter (where exact)) as base_labels, list_sort(list(distinct label)) as labels, max(share) as score
+            from matches group by 1)
+        select d.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word,
+            coalesce(array_to_string(base_labels, ','), '') as base_labels, coalesce(array_to_string(labels, ','), '') as labels, cast(coalesce(score, 0) as double) as score
+        from d left join per using (row)"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_license_scan": _license_sql(),
     "op5_minhash_near_dedup": r"""
         with recursive w as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words

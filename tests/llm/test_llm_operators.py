@@ -217,15 +217,31 @@ def test_toxicity_learns_words_and_pairs(spark):
 def license_brute(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     found = [(k, label) for phrase, label in licenses.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
-    return len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), ",".join(sorted({x for _, x in found}))
+    labels, score = {x for _, x in found}, 1.0 if found else 0.0
+    for template, label, keys in licenses.TEMPLATES:
+        t = template.split()
+        for start in range(-len(t), len(w)):
+            here = [0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(t)]
+            stands = lambda k: all(all(here[i : i + len(k)]) for i in range(len(t)) if t[i : i + len(k)] == k)  # noqa: B023, E731
+            if sum(here) / len(t) >= licenses.COVERAGE and all(stands(k.split()) for k in keys):
+                labels, score = labels | {label}, max(score, sum(here) / len(t))
+    return len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), ",".join(sorted({x for _, x in found})), ",".join(sorted(labels)), score
 
 
 def test_license_scan(spark):
     rows = ["Released under the MIT License.", "x UNDER-THE mit license under the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 cc by nc", None, "", "mit", "the license " * 500 + "under the mit license", "This work is licensed under the GNU General Public License, version 3.", "été under the mit license ß"]
+    # Templates with words changed, cut off at an end, without a key phrase, beside one another and in long texts.
+    rng = random.Random(12)
+    for template, _, _ in licenses.TEMPLATES:
+        for _ in range(6):
+            t = [w if rng.random() < 0.85 else "other" for w in template.split()]
+            t = t[rng.choice([0, 0, 1, 3]) :]
+            rows.append(" ".join(rng.choices(["the", "license", "under", "plain", "Version"], k=rng.choice([0, 2, 7]))) + " " + " ".join(t + rng.choice([[], t, ["2", "0"]])))
+    rows += [prose(rng, 40_000) + " all rights reserved " + prose(rng, 10_000), "all rights reserved", "all rights reserved"]
     rows += ["plain words of the day"] * 30
     got = sorted(licenses.scan(spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, labels string")).collect())
     for r, t in zip(got, rows, strict=True):
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == license_brute(t)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == license_brute(t)
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
     assert got[8].labels == "gpl-3" and got[8].n_base == 0
 
