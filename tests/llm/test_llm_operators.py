@@ -67,6 +67,15 @@ def test_token_files_sequences(spark, docs, encoded):
         assert len(ids) == 64 and (ids[: len(part)] == part).all() and mask.sum() == len(part)
 
 
+def test_token_files_spread_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    rows = [(7 if i % 3 else None, prose(rng, 1 + i % 40)) for i in range(900)] + [(3, "one"), (9, "two")]
+    index = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shared_folder(spark, "tokens"), tokens.default_vocabulary(), shards=6)
+    assert max(r.n_docs for r in index.collect()) < 300
+    got = token_files.read_token_files(index).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+
+
 def test_packing(spark, docs, encoded):
     rows = packing.pack(docs, max_tokens=256).collect()
     assert Counter((r.doc_id, r.piece) for r in rows).most_common(1)[0][1] == 1
