@@ -1,6 +1,6 @@
 """Token-id files: Arrow IPC files of fixed-size-list batches, for zero-copy random access to equal-length sequences.
 
-``write_token_files`` range-partitions documents by ``doc_id`` (and by text where ids are equal), encodes them in the
+``write_token_files`` range-partitions documents by ``doc_id`` (and by size where ids are equal), encodes them in the
 writing task and writes one shard per partition. A shard's stream of ids is cut into rows of ``sequence_length`` ids;
 a document may run over row ends; the shard's last row is padded with 0 and its mask is false there. Every shard has
 two Arrow files: ``*.tokens.arrow`` (``input_ids`` fixed_size_list<uint16 or uint32>, ``mask`` fixed_size_list<bool>)
@@ -105,9 +105,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, sequence_le
         if out:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "stem": [out.close()], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
-    # Ranges of the whole order: rows that share an id, or have none, need not share a task.
-    order = (F.col("doc_id"), F.length("text"), F.xxhash64("text"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shards or parallelism(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # Rows that share an id, or have none, need not share a task: ranges go by the bytes of a text too, known without reading it.
+    order = (F.col("doc_id"), F.octet_length("text"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shards or parallelism(docs.sparkSession), *order).sortWithinPartitions(*order, F.xxhash64("text"))
     return staged(dealt.mapInArrow(write, "shard int, stem string, n_docs long, n_tokens long"), "token-index")
 
 
