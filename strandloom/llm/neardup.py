@@ -39,8 +39,8 @@ BANDS = 36
 ROWS = 5
 THRESHOLD = 80
 CACHE_WORDS = 150_000
-#: Ids of this number at most are broadcast to pick the candidates' texts; above it the join is shuffled.
-BROADCAST_IDS = 500_000
+#: The bitmap that screens the documents for candidates has 2 to this power bits.
+SCREEN_BITS = 24
 #: Buckets from this size on are compared block by block; a block holds about so many documents, or fewer that have about
 #: so many shingles together.
 LARGE = 48
@@ -142,10 +142,25 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_key string, keys array<long>")
 
 
+def screened(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and few others.
+
+    What is broadcast is a bitmap of hashed ids, 2 MB however many they are; the more there are, the more others pass.
+    The first 12 bits of a hash name a row of the bitmap, 6 further ones a word in it and the last 6 the word's bit.
+    """
+    top = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SCREEN_BITS)
+    part, word, bit = F.shiftright(top, 12), F.shiftright(top, 6).bitwiseAND(63).cast("int"), top.bitwiseAND(63).cast("int")
+    words = ids.select(part.alias("_part"), word.alias("word"), bit.alias("bit")).groupBy("_part", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    held = words.groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    bitmap = held.select("_part", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("held")[i], F.lit(0).cast("long"))).alias("_bits"))
+    return docs.join(F.broadcast(bitmap), (part == F.col("_part")) & (F.getbit(F.col("_bits")[word], bit) == 1), "left_semi")
+
+
 def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
     """class_id, text for the classes ``wanted`` (class_id, rep, set_key): one of the texts that have the class's set.
 
-    A representative's id leads to its text; where rows repeat that id with other sets, the text's own set decides.
+    A representative's id leads to its text; where rows repeat that id with other sets, the text's own set decides. The
+    ids meet the texts in a shuffle, of screened texts only, so nothing on the driver grows with their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +171,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words:
 
     marked = wanted.join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", F.when(F.col("again"), F.col("set_key")).alias("set_key"), F.coalesce("again", F.lit(False)).alias("again"))
     marked = staged(marked, "wanted-texts")
-    known = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
-    return docs.join(known, "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(lean(run), "class_id long, text string").dropDuplicates(["class_id"])
+    return screened(docs, marked).join(marked.hint("merge"), "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(lean(run), "class_id long, text string").dropDuplicates(["class_id"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:

@@ -185,6 +185,28 @@ def test_rows_that_repeat_an_id_link_by_all_their_sets(spark):
     assert {r.component_id for r in got} == {3}
 
 
+def broadcast_bytes(plan):
+    own = plan.metrics().apply("dataSize").value() if plan.getClass().getSimpleName() == "BroadcastExchangeExec" else 0
+    return own + sum(broadcast_bytes(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_candidates_are_not_broadcast_with_their_number(spark):
+    n = 200_000
+    docs = spark.range(2 * n).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    wanted = spark.range(2 * n).filter("id % 2 = 1").select((F.col("id") + 7).alias("class_id"), F.col("id").alias("rep"), F.lit("").alias("set_key"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = neardup.class_texts(docs, wanted, spark.createDataFrame([], "doc_id long"), 2)
+        assert {(r.class_id, r.text) for r in got.collect()} == {(i + 7, f"text {i}") for i in range(1, 2 * n, 2)}
+        assert 0 < broadcast_bytes(got._jdf.queryExecution().executedPlan()) < 6 << 20
+        ids = wanted.select(F.col("rep").alias("doc_id"))
+        assert neardup.screened(docs, ids).count() < 1.05 * n
+        assert neardup.screened(docs, ids.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.3, (300, 8)).astype("float32")
