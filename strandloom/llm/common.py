@@ -61,6 +61,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_parser(spark: SparkSession) -> None:
+    """Empty the automata that the SQL parser has cached on the driver: a very long expression leaves tens of MB there.
+
+    They are shared and filled again as needed; other parsers at work may be slower for a moment, but read the same.
+    """
+    spark._jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None).getInterpreter().clearDFA()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

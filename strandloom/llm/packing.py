@@ -130,19 +130,21 @@ def places(lengths: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     lowest = F.element_at(F.array(*[F.lit(c).cast("long") for c in (1, *cuts)]), F.col("part") + 1)
     # Each range on its own, all together, more sequences: the first of these again after every match.
     apart, together, more = range(3)
-    done, sequences, step = [state.limit(0)], 0, more
+    done, sequences, step = [state.limit(0)], 0, together
+    item = F.col("kind") == ITEM
     while True:
-        left = state.filter(F.col("kind") == ITEM).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("tokens")).first()
+        # All that a round needs to know, in one job.
+        left = state.agg(F.sum(F.when(item, F.col("n"))).alias("n"), F.sum(F.when(item, F.col("n") * F.col("size"))).alias("tokens"), F.count(F.when(F.col("kind") == PLACED, 1)).alias("placed")).first()
         if not left.n:
             break
+        step = apart if left.placed else step + 1
         if step == more:
             need = min(left.n, -(-left.tokens // max_tokens))
             state = staged(opened(state.filter(F.col("kind") != PLACED), need, sequences, max_tokens), "packing-runs")
-            sequences, step = sequences + need, apart
+            sequences += need
         else:
             dealt = state.filter(F.col("kind") != PLACED).withColumn("part", F.lit(0) if step == together else part).withColumn("lowest", lowest)
             state = staged(dealt.groupBy("part").applyInArrow(settle, "kind long, size long, first long, n long, seq long, room long"), "packing-runs")
-            step = apart if state.filter(F.col("kind") == PLACED).take(1) else step + 1
         done.append(state)
     placed = functools.reduce(DataFrame.union, done).filter(F.col("kind") == PLACED)
     return placed.select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "seq", (F.lit(max_tokens) - F.col("room")).cast("long").alias("offset"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import forget_parser, free_name
 
 KEY = "change-this-key"
 ROUNDS = 8
@@ -190,6 +190,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds_co
     found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found_name, new_name = (free_name(f"_pii_{x}", docs.columns) for x in ("found", "new"))
     out = docs.withColumn(found_name, found).withColumn(new_name, F.expr(f"transform(`{found_name}`, m -> {_pseudonym('m', key)})"))
+    forget_parser(docs.sparkSession)
     # Split by the same pattern: one gap more than matches.
     gaps = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, F.concat(F.transform(F.col(new_name), lambda x: x["text"]), F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")

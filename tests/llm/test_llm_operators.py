@@ -12,10 +12,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from py4j.java_gateway import get_field
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, html_text, licenses, neardup, packing, pii, token_files, tokens, topk, toxicity, warc
-from strandloom.llm.common import shared_folder
+from strandloom.llm.common import shared_folder, staged
 
 DOCS = "doc_id long, text string, source string, extra int"
 WORDS = "the of and river stone lamp walks under bright quiet garden seven paper".split()
@@ -124,6 +125,21 @@ def test_packing_is_close_to_sequential_best_fit(spark):
         assert len(held) <= 1.001 * best_fit_decreasing(lengths, size) + 1
 
 
+def test_a_packing_round_takes_few_jobs(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(packing, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    rng = random.Random(6)
+    lengths = spark.createDataFrame(sorted(Counter(rng.randint(1, 256) for _ in range(2000)).items()), "length long, n long")
+    context = spark.sparkContext
+    context.setJobGroup("packing-rounds", "")
+    try:
+        packing.places(lengths, 256)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("packing-rounds"))
+    assert jobs <= 4 * len(rounds)
+
+
 def brute_components(sets, threshold=80):
     top = list(range(len(sets)))
 
@@ -372,6 +388,12 @@ def test_pii_keeps_clashing_columns_and_long_texts(spark):
     assert "qqqq" not in got[0].text and "sub." not in got[0].text and got[0].text.startswith("plain words ") and got[2].pii_kinds == ["ssn"]
 
 
+def test_pii_leaves_no_large_parser_cache(spark):
+    pii.pseudonymise(spark.createDataFrame([(1, "mail a@b.org")], "doc_id long, text string"))
+    automata = get_field(spark._jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None).getInterpreter(), "decisionToDFA")
+    assert sum(get_field(d, "states").size() for d in automata) < 500
+
+
 def test_every_date_has_a_pseudonym_of_its_own(spark):
     days = spark.sql("select cast(date_add(date'1900-01-01', cast(id as int)) as string) as d from range(73049)")
     out = days.select(F.expr(f"transform(array(d), m -> {pii._date('m', 'k')})[0]").alias("p"))
