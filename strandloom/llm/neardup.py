@@ -49,6 +49,15 @@ BLOCK_SHINGLES = 1 << 19
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that never broadcasts it.
+
+    A file's size on disk says little of its rows in memory: numbers in order take a byte or two each in Parquet, and some
+    50 bytes in a hash table, which the driver would collect and hold once for each of the many joins.
+    """
+    return df.hint("merge")
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
@@ -169,9 +178,9 @@ def class_texts(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words:
             right = [not again or set_key == set_digest(shingler(text.as_py())) for again, set_key, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["class_id", "text"]).filter(pa.array(right, pa.bool_()))
 
-    marked = wanted.join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", F.when(F.col("again"), F.col("set_key")).alias("set_key"), F.coalesce("again", F.lit(False)).alias("again"))
+    marked = wanted.join(shuffled(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again"))), "rep", "left").select(F.col("rep").alias("doc_id"), "class_id", F.when(F.col("again"), F.col("set_key")).alias("set_key"), F.coalesce("again", F.lit(False)).alias("again"))
     marked = staged(marked, "wanted-texts")
-    return screened(docs, marked).join(marked.hint("merge"), "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(lean(run), "class_id long, text string").dropDuplicates(["class_id"])
+    return screened(docs, marked).join(shuffled(marked), "doc_id").select("class_id", "text", "again", "set_key").mapInArrow(lean(run), "class_id long, text string").dropDuplicates(["class_id"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -198,8 +207,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
                 keep.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    left = pairs.join(texts.withColumnsRenamed({"class_id": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"class_id": "b", "text": "text_b"}), "b")
+    left = pairs.join(shuffled(texts.withColumnsRenamed({"class_id": "a", "text": "text_a"})), "a")
+    both = left.join(shuffled(texts.withColumnsRenamed({"class_id": "b", "text": "text_b"})), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(check), "a long, b long")
 
 
@@ -250,12 +259,12 @@ def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: i
                 out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    sets = texts.join(buckets.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles binary")
+    sets = texts.join(shuffled(buckets.select("class_id").distinct()), "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles binary")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("weight") / BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", "component")
-    return dealt.join(sets, "class_id").groupBy("key", "lo", "hi").applyInArrow(met, "a long, b long")
+    return dealt.join(shuffled(sets), "class_id").groupBy("key", "lo", "hi").applyInArrow(met, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,9 +283,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_low.select("a", F.col("m").alias("b")))
+        small = large.join(shuffled(small_low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_low.select("a", F.col("m").alias("b")))
         edges = staged(small.filter("a <> b").distinct(), "links")
     nodes = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return nodes.union(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
@@ -288,14 +297,14 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         return staged(components(links), "components")
     joined = _labelled(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
-    return staged(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
+    nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(shuffled(labels), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return staged(nodes.join(shuffled(top), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs with the components ca and cb of their ends."""
     for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+        pairs = pairs.join(shuffled(labels.select(F.col("node").alias(end), F.col("component").alias("c" + end))), end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
     return pairs
 
 
@@ -313,15 +322,15 @@ def rare_buckets(buckets: DataFrame, texts: DataFrame, words: int, threshold: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["class_id", "shingles"])
 
     nodes = staged(buckets.select("class_id", "n", "component").distinct(), "large-members")
-    sets = staged(texts.join(nodes, "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles array<long>"), "large-sets")
+    sets = staged(texts.join(shuffled(nodes), "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles array<long>"), "large-sets")
     held = sets.select("class_id", F.explode("shingles").alias("key"))
     common = held.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = held.join(common, "key").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    shared = held.join(shuffled(common), "key").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
     places = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("shared"))
-    prefix = shared.join(nodes, "class_id").filter(places > 0).withColumn("key", F.explode(F.slice("shared", F.lit(1), places.cast("int"))))
+    prefix = shared.join(shuffled(nodes), "class_id").filter(places > 0).withColumn("key", F.explode(F.slice("shared", F.lit(1), places.cast("int"))))
     rows = staged(prefix.select(F.col("key.key").alias("key"), "class_id", "n", "component"), "rare-shingles")
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("weight")).filter("lo < hi").select("key", "size", "weight")
-    return rows.join(mixed, "key")
+    return rows.join(shuffled(mixed), "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -337,38 +346,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     # Buckets of distinct sets; those with one member go.
     spread = classes.select("class_id", "n", F.explode("keys").alias("key"))
     centres = spread.groupBy("key").agg(F.min("class_id").alias("centre"), F.max("class_id").alias("last"), F.min_by("n", "class_id").alias("centre_n")).filter("centre < last").drop("last")
-    members = staged(spread.join(centres, "key"), "buckets")
+    members = staged(spread.join(shuffled(centres), "key"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
     stars = staged(
         members.filter("class_id <> centre").groupBy(F.col("class_id").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("centre_n").alias("m")).filter(alike(F.col("n"), F.col("m"))).select("a", "b", "shared"),
         "stars",
     )
     ids = members.select("class_id").distinct()
-    texts = staged(class_texts(docs, staged(classes.select("class_id", "rep", "set_key").join(ids, "class_id", "left_semi"), "candidates"), repeated, words), "candidate-texts")
+    texts = staged(class_texts(docs, staged(classes.select("class_id", "rep", "set_key").join(shuffled(ids), "class_id", "left_semi"), "candidates"), repeated, words), "candidate-texts")
 
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    of_repeated = sets.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").join(classes.select("set_key", "class_id"), "set_key").select("doc_id", "class_id")
-    same_id = of_repeated.join(of_repeated.groupBy("doc_id").agg(F.min("class_id").alias("b")), "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
+    of_repeated = sets.join(shuffled(repeated), "doc_id", "left_semi").select("doc_id", "set_key").join(shuffled(classes.select("set_key", "class_id")), "set_key").select("doc_id", "class_id")
+    same_id = of_repeated.join(shuffled(of_repeated.groupBy("doc_id").agg(F.min("class_id").alias("b"))), "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
     labels = _merged(None, staged(confirmed(best, texts, words, threshold).union(same_id), "confirmed"))
-    rest = _labelled(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).filter("ca <> cb").select("a", "b")
+    rest = _labelled(stars.join(shuffled(best), ["a", "b"], "left_anti").select("a", "b"), labels).filter("ca <> cb").select("a", "b")
     labels = _merged(labels, staged(confirmed(rest, texts, words, threshold), "confirmed"))
 
     # Buckets whose members still lie in several components.
-    placed = members.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+    placed = members.join(shuffled(labels.select(F.col("node").alias("class_id"), "component")), "class_id", "left").select("key", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
-    apart = staged(placed.join(mixed, "key"), "mixed-buckets")
+    apart = staged(placed.join(shuffled(mixed), "key"), "mixed-buckets")
     rare = staged(rare_buckets(apart.filter(F.col("size") >= LARGE), texts, words, threshold), "rare-buckets")
 
     def met(buckets: DataFrame) -> DataFrame:
         x, y = buckets.select("key", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), buckets.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        return x.join(y, "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b")
+        return x.join(shuffled(y), "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b")
 
-    pairs = met(apart.filter(F.col("size") < LARGE)).union(met(rare.filter(F.col("size") < LARGE))).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = met(apart.filter(F.col("size") < LARGE)).union(met(rare.filter(F.col("size") < LARGE))).distinct().join(shuffled(stars), ["a", "b"], "left_anti")
     links = confirmed(pairs, texts, words, threshold).union(linked_blocks(rare.filter(F.col("size") >= LARGE), texts, words, threshold))
     labels = _merged(labels, staged(links, "confirmed"))
 
-    placed = classes.select("set_key", "rep", "class_id").join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("set_key", "rep", F.coalesce("component", "class_id").alias("component"))
+    placed = classes.select("set_key", "rep", "class_id").join(shuffled(labels.select(F.col("node").alias("class_id"), "component")), "class_id", "left").select("set_key", "rep", F.coalesce("component", "class_id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = placed.join(smallest, "component").select("set_key", "component_id")
-    out = found.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    of_class = placed.join(shuffled(smallest), "component").select("set_key", "component_id")
+    out = found.join(shuffled(of_class), "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
