@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.geometry import floor_median, pct
 from .filters import REASONS
+from .graph import cut_lineage
 from .representative import MOLECULE
 
 #: The rows of the run report in order.
@@ -32,7 +33,8 @@ def summary(reads: DataFrame) -> DataFrame:
 
 def number(molecules: DataFrame, per: int = 1 << 20) -> DataFrame:
     """``molecules`` with mi: 1..N by rep_ordinal. Ranks are taken within ranges of ordinals and offset by the ranges before."""
-    binned = molecules.withColumn("_bin", F.floor(F.col("rep_ordinal") / per))
+    # Read twice, for the ranges' sizes and for the ranks.
+    binned = cut_lineage(molecules).withColumn("_bin", F.floor(F.col("rep_ordinal") / per))
     before = F.sum("n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     # One row per range of ordinals.
     offsets = binned.groupBy("_bin").agg(F.count("*").alias("n")).select("_bin", F.coalesce(before, F.lit(0)).alias("_base"))
