@@ -151,9 +151,14 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(neighbours.weights(dense, neighbours.credits(dense, CONFIG)))
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What the steps from loci to molecules never read.
+UNREAD = ("g", "flag", "mapq", "rx", "ec", "umi_true", "edits")
+
+
+def _members(spark: SparkSession, sf_dir: str, used: DataFrame | None = None) -> DataFrame:
     """All used reads with the seeds of their molecules."""
-    reads, table = map(cut_lineage, nodes.nodes(_placed(spark, sf_dir), CONFIG))
+    placed = loci.loci((used or _used(spark, sf_dir)).drop(*UNREAD), CONFIG.pos_tol)
+    reads, table = map(cut_lineage, nodes.nodes(placed, CONFIG))
     return cut_lineage(clusters.assign(reads, table, clusters.place(table, CONFIG).homes))
 
 
@@ -378,7 +383,7 @@ def mark_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_MI + """h as (select n_reads, row_number() over (order by n_reads) - 1 as i, count(*) over () as n from rep)
 select cast(max(n_reads) filter (where i = floor((n - 1) * 0.5 + 0.5)) as bigint) as p50, cast(max(n_reads) filter (where i = floor((n - 1) * 0.9 + 0.5)) as bigint) as p90, cast(max(n_reads) as bigint) as max from h""")
 def size_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return molecules.size_percentiles(_numbered(spark, sf_dir)[1])
+    return molecules.size_percentiles(molecules.summary(_members(spark, sf_dir)))
 
 
 _GENES = """with g as (select range as g, range % 3 as tid, case when range % 7 = 6 then '.' when range % 2 = 0 then '+' else '-' end as strand, 10000 + 5000 * range as lo from range(40))"""
@@ -464,8 +469,9 @@ o as (select count(distinct mol) as seen, count(*) as reps from rep)
 select observable, reps as molecules_out, reps - seen as split, observable - seen as lost from s, o""")
 def truth_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Molecules out against the molecules that the reads were derived from."""
-    truth = _used(spark, sf_dir).select("mol").distinct().agg(F.count("*").alias("observable"))
-    members = _members(spark, sf_dir)
+    used = _used(spark, sf_dir)
+    truth = used.select("mol").distinct().agg(F.count("*").alias("observable"))
+    members = _members(spark, sf_dir, used)
     seen = representative.consensus(members).join(members.select(F.col("ordinal").alias("rep_ordinal"), "mol"), "rep_ordinal").agg(F.countDistinct("mol").alias("seen"), F.count("*").alias("molecules_out"))
     # One row each.
     return truth.join(seen).select("observable", "molecules_out", (F.col("molecules_out") - F.col("seen")).alias("split"), (F.col("observable") - F.col("seen")).alias("lost"))
