@@ -111,13 +111,16 @@ def decode(records: DataFrame, column: str = "rx", max_edits: int = 5) -> DataFr
     def aligned(tags: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: dict[str, tuple | None] = {}
         for batch in tags:
-            new = [t for t in batch.dropna().unique() if t not in seen]
+            at, distinct = pd.factorize(batch)
+            new = [t for t in distinct if t not in seen]
             if len(seen) > MAX_SEEN:
                 seen.clear()
-                new = list(batch.dropna().unique())
+                new = list(distinct)
             seen.update(zip(new, align(new, max_edits), strict=True))
             nothing = (None,) * 5
-            yield pd.DataFrame([(t is not None and seen.get(t)) or nothing for t in batch], columns=["b0", "b1", "b2", "b3", "edits"]).astype({"edits": "Int32"})
+            # What is missing or clean is at -1, the last.
+            found = pd.DataFrame([*[seen.get(t) or nothing for t in distinct], nothing], columns=["b0", "b1", "b2", "b3", "edits"]).astype({"edits": "Int32"})
+            yield found.take(at).reset_index(drop=True)
 
     hard = records.withColumn("_hard", aligned(F.when(~clean, tag)))
     block = lambda k: F.when(clean, F.substring(tag, 4 + 6 * k, 4)).otherwise(F.col("_hard")[f"b{k}"])

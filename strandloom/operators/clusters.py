@@ -52,8 +52,7 @@ def leftovers(nodes: DataFrame, parents: DataFrame, clusters: DataFrame, config:
     totals = clusters.groupBy("locus_id", "seed").agg(F.sum("weight").alias("total"))
     followed = hurt.join(parents.select("locus_id", "node_id", "parent"), ["locus_id", "node_id"]).join(clusters.select("locus_id", F.col("node_id").alias("parent"), "seed"), ["locus_id", "parent"]).join(totals, ["locus_id", "seed"])
     left = hurt.join(parents, ["locus_id", "node_id"], "left_anti")
-    every = F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))
-    met = nb.pairs(left, hurt, nb.kept_for(F.col("own_reach")), every, same=False)
+    met = nb.pairs(left, hurt, nb.kept_for(F.col("own_reach")), nb.kept_by_any(hurt), same=False)
     met = met.filter((F.col("u.node_id") != F.col("v.node_id")) & (F.col("dist") <= F.col("u.own_reach")) & nb.compatible(nb._side("u"), nb._side("v"), config))
     blank = F.lit(-1).cast("long")
     shape = lambda d, seed, total: d.select("locus_id", F.lit(0).alias("kind"), "node_id", "cnt", "umi_key", "amin", seed.alias("seed"), total.alias("total"), blank.alias("other"), blank.alias("dist"))
@@ -93,4 +92,5 @@ def place(nodes: DataFrame, config: Config) -> Placed:
 def assign(reads: DataFrame, nodes: DataFrame, homes: DataFrame) -> DataFrame:
     """``reads`` (with node_id) with seed: the node that names their molecule within the locus; and the molecule's barcode."""
     names = nodes.select("locus_id", F.col("node_id").alias("seed"), F.concat("b0", "b1", "b2", "b3").alias("molecule_umi"), F.col("damaged").alias("umi_damaged"))
-    return reads.join(homes, ["locus_id", "node_id"]).join(names, ["locus_id", "seed"])
+    # Nodes are fewer than reads: these are shuffled once.
+    return reads.join(homes.join(names, ["locus_id", "seed"]), ["locus_id", "node_id"])

@@ -74,6 +74,17 @@ def kept_for(reach: Column) -> Column:
     return F.when(reach <= 0, F.array(F.lit(4))).when(reach == 1, F.array(F.lit(3))).when(reach == 2, F.array(F.lit(3), F.lit(2))).otherwise(F.array(F.lit(3), F.lit(2), F.lit(1)))
 
 
+def kept_by_any(nodes: DataFrame) -> Column:
+    """The mask sizes that any of ``nodes`` is indexed by: deep loci have short reaches, and what they meet needs few ways.
+
+    Asks for the longest and the shortest reach, one row.
+    """
+    found = nodes.agg(F.min("own_reach").alias("least"), F.max("own_reach").alias("most")).first()
+    most = 0 if found.most is None else min(found.most, 3)
+    sizes = [4] if most <= 0 else list(range(4 - most, 4))
+    return F.array(*[F.lit(k) for k in sizes + [4] * (most > 0 and found.least <= 0)])
+
+
 def with_reach(nodes: DataFrame, config: Config) -> DataFrame:
     valid = umi.reach(config.umi_dist, F.col("density"), config.collision_budget)
     hurt = umi.reach(config.damaged_umi_dist, F.col("density"), config.damaged_collision_budget)
@@ -86,8 +97,7 @@ def credits(nodes: DataFrame, config: Config) -> DataFrame:
     Ties go to more reads, then to the smaller node id. ``nodes`` come with density and own_reach.
     """
     hurt, sound = nodes.filter("damaged"), nodes.filter(~F.col("damaged"))
-    every = F.array(*[F.lit(k) for k in range(4 - min(config.damaged_umi_dist, 3), 4)]) if config.damaged_umi_dist > 0 else F.array(F.lit(4))
-    met = pairs(hurt, sound, kept_for(F.col("own_reach")), every, same=False)
+    met = pairs(hurt, sound, kept_for(F.col("own_reach")), kept_by_any(hurt), same=False)
     fit = met.filter((F.col("dist") <= F.col("u.own_reach")) & compatible(_side("u"), _side("v"), config))
     best = fit.groupBy("locus_id", F.col("u.node_id").alias("node_id")).agg(F.min(F.struct("dist", (-F.col("v.cnt")).alias("few"), F.col("v.node_id").alias("parent"))).alias("best"))
     return best.select("locus_id", "node_id", F.col("best.parent").alias("parent"), F.col("best.dist").alias("dist"))

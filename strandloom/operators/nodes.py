@@ -40,23 +40,28 @@ def nodes(reads: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     joined = cut_lineage(linked(reads, config))
     edges = bridges(joined, config).withColumn("grp", F.struct("locus_id", "umi_key"))
     # Bridges are rare; without any the rounds of label propagation are left out.
-    if config.positions and joined.filter("alt_anchor is not null").take(1) and edges.take(1):
+    some = bool(joined.filter("alt_anchor is not null").take(1))
+    if config.positions and some and edges.take(1):
         top = undirected_min(edges.select("grp", "a", "b")).select(F.col("grp.locus_id").alias("locus_id"), F.col("grp.umi_key").alias("umi_key"), F.col("node").alias("island"), F.col("label").alias("_top"))
         joined = joined.join(top, ["locus_id", "umi_key", "island"], "left").withColumn("component", F.coalesce("_top", "island")).drop("_top")
+        islands = F.size(F.collect_set("island")).cast("long")
     else:
-        joined = joined.withColumn("component", F.col("island"))
+        joined, islands = joined.withColumn("component", F.col("island")), F.max(F.lit(1)).cast("long")
     alt = F.when(F.col("alt_anchor").isNotNull(), F.struct(F.col("alt_anchor").alias("pos"), F.col("alt_exon").alias("exon")))
-    grouped = joined.groupBy("locus_id", "umi_key", "component").agg(
-        F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("b3").alias("b3"), F.first("damaged").alias("damaged"), F.first("strand").alias("strand"),
-        F.count("*").alias("cnt"), F.min("anchor").alias("amin"), F.max("anchor").alias("amax"), F.max("clip5").alias("max_clip5"), F.array_sort(F.collect_set(alt)).alias("_alts"), F.min(F.struct("anchor", "ordinal")).alias("_first"), F.countDistinct("island").alias("islands"),
+    # The key tells the blocks and the damage, the locus the strand. As keys they leave numbers alone to be aggregated, which
+    # takes no sort; sets of alternatives do, and are taken only where there are any.
+    none = F.array().cast("array<struct<pos:bigint,exon:bigint>>")
+    grouped = joined.groupBy("locus_id", "umi_key", "component", "b0", "b1", "b2", "b3", "damaged", "strand").agg(
+        F.count("*").alias("cnt"), F.min("anchor").alias("amin"), F.max("anchor").alias("amax"), F.max("clip5").alias("max_clip5"), islands.alias("islands"), *([F.array_sort(F.collect_set(alt)).alias("_alts")] if some else []),
     )
+    grouped = grouped if some else grouped.withColumn("_alts", none)
     # Sorted by position, then exon: the first of each position is its shortest exon.
     alts = F.filter("_alts", lambda x, i: (i == 0) | (F.get("_alts", i - 1)["pos"] != x["pos"]))
     # Numbered within ranges of keys (their highest block) and offset by the ranges before: a deep locus is many tasks.
     ranged = cut_lineage(grouped.withColumn("alts", alts).withColumn("_part", F.shiftright("umi_key", 45)).drop("_alts"))
     before = F.sum("n").over(Window.partitionBy("locus_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy("locus_id", "_part").agg(F.count("*").alias("n")).select("locus_id", "_part", F.coalesce(before, F.lit(0)).alias("_base"))
-    ids = F.row_number().over(Window.partitionBy("locus_id", "_part").orderBy("umi_key", "_first"))
-    table = ranged.withColumn("_inner", ids).join(offsets, ["locus_id", "_part"]).withColumn("node_id", (F.col("_base") + F.col("_inner")).cast("long")).drop("_first", "_part", "_inner", "_base")
+    ids = F.row_number().over(Window.partitionBy("locus_id", "_part").orderBy("umi_key", "amin"))
+    table = ranged.withColumn("_inner", ids).join(offsets, ["locus_id", "_part"]).withColumn("node_id", (F.col("_base") + F.col("_inner")).cast("long")).drop("_part", "_inner", "_base")
     marked = joined.join(table.select("locus_id", "umi_key", "component", "node_id"), ["locus_id", "umi_key", "component"])
     return marked, table

@@ -1,7 +1,9 @@
-"""Alignment-like relations derived from the driver's events table; the SQL runs unchanged in Spark and in DuckDB."""
+"""Alignment-like relations derived from the driver's events table; the same SQL runs in Spark and in DuckDB."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,9 @@ def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A small file is one partition; what is derived from it is not small.
     if events.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         events = events.repartition(spark.sparkContext.defaultParallelism)
-    return spark.sql(READS_SQL.replace("from events)", "from {events})"), events=events)
+    # What DuckDB divides as doubles Spark would divide as decimals, which takes longer than all the rest of a row.
+    text = re.sub(r"(?<= / )(\d+\.0)\b", r"\1D", READS_SQL)
+    return spark.sql(text.replace("from events)", "from {events})"), events=events)
 
 
 def records(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
