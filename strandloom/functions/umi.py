@@ -1,6 +1,6 @@
 """Barcodes: decoding, packed keys, distance, blocking masks and reach.
 
-Clean tags are read by one pattern in the JVM. Other tags are aligned to the 28-base pattern, once per distinct tag of a
+Clean tags are read by one pattern in the JVM, also where T is missing at their ends. Other tags are aligned to the 28-base pattern, once per distinct tag of a
 task: the dynamic programme runs over its cells in a loop and over the tags of an Arrow batch as vectors.
 """
 
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 # Fixed values of the tag format: V stands for A, C or G; blocks of four V between anchors of T.
 PATTERN = "TTTVVVVTTVVVVTTVVVVTTVVVVTTT"
-CLEAN = "^TTT([ACG]{4})TT([ACG]{4})TT([ACG]{4})TT([ACG]{4})TTT$"
+#: What is missing of the outer T is free. Each missing base costs at least that, so no alignment of these is better, and
+#: none is as good: the first base of a block tells how many T are missing before it.
+CLEAN = "^T{0,3}[ACG]{4}TT[ACG]{4}TT[ACG]{4}TT[ACG]{4}T{0,3}$"
 BLOCKS = ((3, 7), (9, 13), (15, 19), (21, 25))
 EDIT, MAX_LENGTH, MAX_BLOCK = 32, 48, 6
 #: Numbers of barcodes within d edits, of 3^16.
@@ -24,6 +26,8 @@ BALL = (1, 33, 513, 4993)
 SPACE = 3**16
 #: Tags of a task that are remembered.
 MAX_SEEN = 200_000
+#: Rows whose tags are aligned at once: the loop over the cells costs the same for few tags as for some thousands.
+AT_ONCE = 80_000
 
 
 def _block_of_base() -> list[int]:
@@ -104,27 +108,37 @@ def decode(records: DataFrame, column: str = "rx", max_edits: int = 5) -> DataFr
 
     One pass over the input: only the tags that are not clean go through Python, a column of an Arrow batch at a time.
     """
-    tag = F.upper(F.col(column))
-    clean = tag.rlike(CLEAN)
-
     @F.pandas_udf("b0 string, b1 string, b2 string, b3 string, edits int")
     def aligned(tags: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: dict[str, tuple | None] = {}
-        for batch in tags:
-            at, distinct = pd.factorize(batch)
+        nothing = (None,) * 5
+
+        def read(batches: list[pd.Series]) -> pd.DataFrame:
+            at, distinct = pd.factorize(pd.concat(batches, ignore_index=True))
             new = [t for t in distinct if t not in seen]
             if len(seen) > MAX_SEEN:
                 seen.clear()
                 new = list(distinct)
             seen.update(zip(new, align(new, max_edits), strict=True))
-            nothing = (None,) * 5
             # What is missing or clean is at -1, the last.
             found = pd.DataFrame([*[seen.get(t) or nothing for t in distinct], nothing], columns=["b0", "b1", "b2", "b3", "edits"]).astype({"edits": "Int32"})
-            yield found.take(at).reset_index(drop=True)
+            return found.take(at).reset_index(drop=True)
+
+        held: list[pd.Series] = []
+        for batch in tags:
+            held.append(batch)
+            if sum(map(len, held)) >= AT_ONCE:
+                yield read(held)
+                held = []
+        if held:
+            yield read(held)
 
-    hard = records.withColumn("_hard", aligned(F.when(~clean, tag)))
-    block = lambda k: F.when(clean, F.substring(tag, 4 + 6 * k, 4)).otherwise(F.col("_hard")[f"b{k}"])
-    return hard.select(*[F.col(c) for c in records.columns], *[block(k).alias(f"b{k}") for k in range(4)], F.when(clean, F.lit(0)).otherwise(F.col("_hard")["edits"]).alias("edits"))
+    # Asked once for each tag, not by every column.
+    tagged = records.withColumn("_tag", F.upper(F.col(column))).withColumn("_clean", F.col("_tag").rlike(CLEAN))
+    tagged = tagged.withColumn("_inner", F.when(F.col("_clean"), F.ltrim("_tag", F.lit("T"))))
+    hard = tagged.withColumn("_hard", aligned(F.when(~F.col("_clean"), F.col("_tag"))))
+    block = lambda k: F.when(F.col("_clean"), F.substring("_inner", 1 + 6 * k, 4)).otherwise(F.col("_hard")[f"b{k}"])
+    return hard.select(*[F.col(c) for c in records.columns], *[block(k).alias(f"b{k}") for k in range(4)], F.when(F.col("_clean"), F.lit(0)).otherwise(F.col("_hard")["edits"]).alias("edits"))
 
 
 def is_damaged(blocks: list[Column]) -> Column:
@@ -136,12 +150,11 @@ def is_damaged(blocks: list[Column]) -> Column:
 
 def packed_key(blocks: list[Column], damaged: Column) -> Column:
     """The 61-bit key: per block its length, then its bases (the first lowest); block 3 highest; then the damage bit."""
-    total = F.when(damaged, F.lit(1 << 60)).otherwise(F.lit(0).cast("long"))
-    for k, b in enumerate(blocks):
-        # The bases as digits to base 4, the first one last.
-        value = F.length(b).cast("long") * 4096 + F.conv(F.translate(F.reverse(b), "ACGT", "0123"), 4, 10).cast("long")
-        total = total + value * (1 << (15 * k))
-    return total
+    # A fold over the blocks instead of four terms: written out, they make the generated method of a stage so long that the JVM
+    # only interprets it. The bases are digits to base 4, the first one last.
+    value = lambda b: F.length(b).cast("long") * 4096 + F.conv(F.translate(F.reverse(b), "ACGT", "0123"), 4, 10).cast("long")
+    folded = F.aggregate(F.array(*reversed(blocks)), F.lit(0).cast("long"), lambda total, b: total * (1 << 15) + value(b))
+    return F.when(damaged, F.lit(1 << 60)).otherwise(F.lit(0).cast("long")) + folded
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:

@@ -38,14 +38,21 @@ def compatible(a, b, config: Config) -> Column:
 
     if not config.positions:
         return F.lit(True)
-    gap = F.greatest(b("amin") - a("amax"), a("amin") - b("amax")) <= config.pos_tol
-    return (a("strand") == ".") | gap | bridged(a, b) | bridged(b, a)
+    # A locus has one strand. Columns of both sides are asked for in the same order, so that both sides of a join of nodes with
+    # themselves are one shuffle.
+    gap = F.greatest(a("amin"), b("amin")) - F.least(a("amax"), b("amax")) <= config.pos_tol
+    some = (F.size(a("alts")) > 0) | (F.size(b("alts")) > 0)
+    return (a("strand") == ".") & (b("strand") == ".") | gap | some & (bridged(a, b) | bridged(b, a))
 
 
 def keyed(nodes: DataFrame, sizes: Column) -> DataFrame:
-    """A row per way to keep as many blocks as each entry of ``sizes`` (an array of numbers of kept blocks) says."""
+    """A row per way to keep as many blocks as each entry of ``sizes`` (an array of numbers of kept blocks) says.
+
+    Where nodes have a column masks, only ways that it lists are taken.
+    """
     ways = F.array(*[F.struct(F.lit(k).alias("kept"), F.lit(sum(1 << i for i in m)).alias("mask"), F.xxhash64(*[F.col(f"b{i}") for i in m]).alias("blocks")) for k in (1, 2, 3, 4) for m in umi.masks(k)])
-    return nodes.withColumn("_way", F.explode(F.filter(ways, lambda w: F.array_contains(sizes, w["kept"])))).withColumn("mask", F.col("_way.mask")).withColumn("blocks", F.col("_way.blocks")).drop("_way")
+    listed = (lambda w: F.array_contains("masks", w["mask"])) if "masks" in nodes.columns else (lambda w: F.lit(True))
+    return nodes.withColumn("_way", F.explode(F.filter(ways, lambda w: F.array_contains(sizes, w["kept"]) & listed(w)))).withColumn("mask", F.col("_way.mask")).withColumn("blocks", F.col("_way.blocks")).drop("_way")
 
 
 def pairs(left: DataFrame, right: DataFrame, left_sizes: Column, right_sizes: Column, same: bool) -> DataFrame:
@@ -96,7 +103,14 @@ def credits(nodes: DataFrame, config: Config) -> DataFrame:
 
     Ties go to more reads, then to the smaller node id. ``nodes`` come with density and own_reach.
     """
-    hurt, sound = nodes.filter("damaged"), nodes.filter(~F.col("damaged"))
+    # A damaged block equals no block of an undamaged node: pairs meet by the others only, and an undamaged node is spread by
+    # the ways that any damaged node needs.
+    whole = sum((F.when(umi.is_damaged([F.col(f"b{k}")]), 0).otherwise(1 << k) for k in range(4)), F.lit(0))
+    every = F.array(*[F.lit(sum(1 << i for i in m)) for k in (1, 2, 3, 4) for m in umi.masks(k)])
+    hurt = nodes.filter("damaged").withColumn("_whole", whole).withColumn("masks", F.filter(every, lambda m: m.bitwiseAND(F.col("_whole")) == m))
+    # At most 16 rows.
+    needed = sorted({m for row in hurt.select("masks").distinct().collect() for m in row.masks})
+    sound = nodes.filter(~F.col("damaged")).withColumn("masks", F.array(*[F.lit(m) for m in needed]).cast("array<int>"))
     met = pairs(hurt, sound, kept_for(F.col("own_reach")), kept_by_any(hurt), same=False)
     fit = met.filter((F.col("dist") <= F.col("u.own_reach")) & compatible(_side("u"), _side("v"), config))
     best = fit.groupBy("locus_id", F.col("u.node_id").alias("node_id")).agg(F.min(F.struct("dist", (-F.col("v.cnt")).alias("few"), F.col("v.node_id").alias("parent"))).alias("best"))

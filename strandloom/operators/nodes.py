@@ -28,8 +28,10 @@ def bridges(reads: DataFrame, config: Config) -> DataFrame:
     width = max(1, config.pos_tol)
     bin_of = lambda c: F.floor(F.col(c) / width)
     alts = reads.filter("alt_anchor is not null and strand <> '.'").select("locus_id", "umi_key", F.col("island").alias("a"), "alt_anchor", "alt_exon").distinct()
-    alts = alts.withColumn("_bin", F.explode(F.array(*[bin_of("alt_anchor") + F.lit(i) for i in (-1, 0, 1)])))
-    others = reads.groupBy("locus_id", "umi_key", F.col("island").alias("b"), "anchor").agg(F.max("clip5").alias("clip5")).withColumn("_bin", bin_of("anchor"))
+    alts = alts.withColumn("_bin", bin_of("alt_anchor"))
+    # Only reads that are clipped far enough can end a bridge. They are few, so it is these that are put in three bins.
+    others = reads.filter(F.col("clip5") >= MIN_BRIDGE_CLIP).groupBy("locus_id", "umi_key", F.col("island").alias("b"), "anchor").agg(F.max("clip5").alias("clip5"))
+    others = others.withColumn("_bin", F.explode(F.array(*[bin_of("anchor") + F.lit(i) for i in (-1, 0, 1)])))
     near = F.abs(F.col("anchor") - F.col("alt_anchor")) <= config.pos_tol
     clipped = F.col("clip5") >= F.greatest(F.floor(F.col("alt_exon") / 2), F.lit(MIN_BRIDGE_CLIP))
     return alts.join(others, ["locus_id", "umi_key", "_bin"]).filter(near & clipped & (F.col("a") != F.col("b"))).select("locus_id", "umi_key", "a", "b").distinct()

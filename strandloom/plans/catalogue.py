@@ -152,14 +152,16 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What the steps from loci to molecules never read.
-UNREAD = ("g", "flag", "mapq", "rx", "ec", "umi_true", "edits")
+UNREAD = ("mol", "g", "flag", "mapq", "rx", "ec", "umi_true", "edits")
+#: What the molecules' members no longer need once their nodes are known.
+PLACED = ("b0", "b1", "b2", "b3", "umi_key", "damaged", "alt_anchor", "alt_exon", "clip5", "island", "component")
 
 
 def _members(spark: SparkSession, sf_dir: str, used: DataFrame | None = None) -> DataFrame:
     """All used reads with the seeds of their molecules."""
-    placed = loci.loci((used or _used(spark, sf_dir)).drop(*UNREAD), CONFIG.pos_tol)
-    reads, table = map(cut_lineage, nodes.nodes(placed, CONFIG))
-    return cut_lineage(clusters.assign(reads, table, clusters.place(table, CONFIG).homes))
+    found = _used(spark, sf_dir).drop(*UNREAD) if used is None else used.drop(*UNREAD[1:])
+    reads, table = map(cut_lineage, nodes.nodes(loci.loci(found, CONFIG.pos_tol), CONFIG))
+    return cut_lineage(clusters.assign(reads.drop(*PLACED), table, clusters.place(table, CONFIG).homes))
 
 
 @query(_RAW + """
@@ -460,7 +462,9 @@ select cast(x.line as int) as line, x.metric as metric, x.value as value from z"
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("strand") == ".", "unknown").otherwise("TS")
     reasons = filters.drop_reasons(_records(spark, sf_dir).withColumn("strand_source", source), CONFIG)
-    return molecules.report(reasons, deduplicate(reasons.filter("drop_reason is null").drop("drop_reason"), CONFIG), CONFIG)
+    # The report counts edits; the rest is never read.
+    used = reasons.filter("drop_reason is null").drop("drop_reason", *[c for c in UNREAD if c != "edits"])
+    return molecules.report(reasons, deduplicate(used, CONFIG), CONFIG)
 
 
 @query(_MI + """t as (select mol, count(*) as copies from used group by mol),

@@ -51,31 +51,43 @@ select ordinal, mol, copy, g, tid, strand, ec,
 from e2
 """
 
+#: A block of four digits to base 3 as that SQL writes it, digit by digit, and all 81 blocks in the order of their numbers.
+_DIGITS = re.compile(r"concat\((?:substr\('ACG', cast\(\(\(cast\(floor\(u / (\d+)\.0\) as bigint\) % 3\) \+ 0\) % 3 \+ 1 as int\), 1\),?){4}\)")
+_BLOCKS = ", ".join(repr("".join("ACG"[n // 3**i % 3] for i in range(4))) for n in range(81))
+
 #: Gene models: two exons for each of the 40 genes.
 GENES = 40
 
 
+def _spark_sql() -> str:
+    """``READS_SQL`` in forms that take Spark less time for the same values.
+
+    A block is looked up whole; its digits one by one were most of the time of a row. What DuckDB divides as doubles Spark
+    would divide as decimals.
+    """
+    blocks = _DIGITS.sub(lambda m: f"element_at(array({_BLOCKS}), cast(u div {int(m[1]) // 27} % 81 as int) + 1)", READS_SQL)
+    return re.sub(r"(?<= / )(\d+\.0)\b", r"\1D", blocks)
+
+
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    # A small file is one partition; what is derived from it is not small.
-    if events.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        events = events.repartition(spark.sparkContext.defaultParallelism)
-    # What DuckDB divides as doubles Spark would divide as decimals, which takes longer than all the rest of a row.
-    text = re.sub(r"(?<= / )(\d+\.0)\b", r"\1D", READS_SQL)
-    return spark.sql(text.replace("from events)", "from {events})"), events=events)
+    # What is derived from a file is not small as it is: as many parts as there are cores at least, all about the same size,
+    # where a file's own are as uneven as its row groups.
+    events = events.repartition(max(events.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "event_id")
+    return spark.sql(_spark_sql().replace("from events)", "from {events})"), events=events)
 
 
 def records(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
     """The derived reads with geometry columns, decoded barcodes and keys (null where undecodable)."""
-    raw = raw_reads(spark, sf_dir)
+    # Decoded before the geometry is added: one generated method for all of it would be too long for the JVM to compile.
+    raw = umi.decode(raw_reads(spark, sf_dir), "rx", config.max_umi_edits)
     start, end, strand = F.col("r_start").cast("long"), F.col("r_end").cast("long"), F.lit(".") if config.ignore_strand else F.col("strand")
     junction = F.struct(F.col("j_start").cast("long").alias("s"), F.col("j_end").cast("long").alias("e"))
-    base = raw.select("ordinal", "mol", "g", "tid", strand.alias("strand"), "flag", "mapq", start.alias("start"), end.alias("end"), F.array(junction).alias("junctions"), "exonic_len", "clip5", "has_sa", "qs", "pt", "rx", "ec", "umi_true")
+    blocks = [F.col(f"b{k}") for k in range(4)]
+    base = raw.select("ordinal", "mol", "g", "tid", strand.alias("strand"), "flag", "mapq", start.alias("start"), end.alias("end"), F.array(junction).alias("junctions"), "exonic_len", "clip5", "has_sa", "qs", "pt", "rx", "ec", "umi_true", *blocks, "edits")
     alt = geo.alt_anchor(F.col("strand"), F.col("start"), F.col("end"), F.col("junctions"), config.bridge_exon_max)
     shaped = base.withColumn("anchor", geo.anchor(F.col("strand"), F.col("start"), F.col("end"))).withColumn("_alt", alt).withColumn("alt_anchor", F.col("_alt.pos")).withColumn("alt_exon", F.col("_alt.exon")).drop("_alt")
-    decoded = umi.decode(shaped, "rx", config.max_umi_edits)
-    blocks = [F.col(f"b{k}") for k in range(4)]
-    return decoded.withColumn("damaged", umi.is_damaged(blocks)).withColumn("umi_key", umi.packed_key(blocks, F.col("damaged")))
+    return shaped.withColumn("damaged", umi.is_damaged(blocks)).withColumn("umi_key", umi.packed_key(blocks, F.col("damaged")))
 
 
 def used_reads(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
