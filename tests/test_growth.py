@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config
 from strandloom.functions import umi
-from strandloom.operators import graph, neighbours, nodes
+from strandloom.operators import graph, neighbours, nodes, representative
 from strandloom.sources import testdata
 
 NODE = "locus_id long, node_id long, b0 string, b1 string, b2 string, b3 string, cnt long, amin long, amax long, max_clip5 int, alts array<struct<pos:bigint,exon:bigint>>, strand string, own_reach int, damaged boolean, density long, weight long"
@@ -70,6 +70,15 @@ def test_edges_shuffle_their_nodes_once(spark):
     assert "ReusedExchange" in _plan(neighbours.directed_edges(graph.cut_lineage(table), Config()))
 
 
+def test_consensus_joins_nothing_back(spark):
+    shape = "locus_id long, seed long, tid int, ordinal long, start long, end long, junctions array<struct<s:bigint,e:bigint>>, exonic_len long, qs double, pt long, has_sa boolean"
+    rows = [(1, 1, 0, 1, 0, 500, [(100, 200)], 400, 9.0, None, False), (1, 1, 0, 2, 0, 400, [(100, 200)], 300, None, 5, False), (1, 1, 0, 3, 0, 600, [(110, 200)], 510, 9.0, 5, False), (1, 2, 0, 4, 0, 50, [], 50, None, None, True)]
+    found = representative.consensus(spark.createDataFrame(rows, shape))
+    # The longest of the first molecule carries a junction of its own and skips the one that two reads support.
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 2, 0, 2, True), (1, 2, 4, 0, 1, False)]
+    assert len(re.findall(r"\bJoin ", found._jdf.queryExecution().optimizedPlan().toString())) == 2
+
+
 def test_bridges_start_from_reads_that_are_clipped_far_enough(spark):
     shape = "locus_id long, umi_key long, island long, anchor long, alt_anchor long, alt_exon long, clip5 int, strand string"
     rows = [(1, 7, 0, 900, 520, 12, 3, "-"), (1, 7, 1, 500, None, None, 6, "-"), (1, 7, 2, 541, None, None, 40, "-"), (1, 7, 3, 530, None, None, 4, "-")]
