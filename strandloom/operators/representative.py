@@ -21,7 +21,9 @@ def longest(reads: DataFrame) -> DataFrame:
 
 def junction_votes(reads: DataFrame, introns: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """(locus_id, seed, s, e, support, spanning, supported, bad) for every junction of every molecule."""
-    carried = reads.select(*MOLECULE, "tid", "ordinal", F.explode("junctions").alias("j")).select(*MOLECULE, "tid", "ordinal", F.col("j.s").alias("s"), F.col("j.e").alias("e"))
+    # Dealt by molecule before junctions are counted: the counts are where the join wants them.
+    dealt = reads.select(*MOLECULE, "tid", "junctions").repartition(*MOLECULE)
+    carried = dealt.select(*MOLECULE, "tid", F.explode("junctions").alias("j")).select(*MOLECULE, "tid", F.col("j.s").alias("s"), F.col("j.e").alias("e"))
     support = carried.groupBy(*MOLECULE, "tid", "s", "e").agg(F.count("*").alias("support"))
     spans = support.join(reads.select(*MOLECULE, "start", "end"), MOLECULE)
     voted = spans.groupBy(*MOLECULE, "tid", "s", "e", "support").agg(F.count(F.when((F.col("start") <= F.col("s")) & (F.col("end") >= F.col("e")), 1)).alias("spanning"))

@@ -85,3 +85,18 @@ def test_bridges_start_from_reads_that_are_clipped_far_enough(spark):
     found = nodes.bridges(spark.createDataFrame(rows, shape), Config())
     assert [tuple(r) for r in found.collect()] == [(1, 7, 0, 1)]
     assert re.search(r"clip5#\d+ >= 5", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_votes_are_counted_where_they_are_joined(spark):
+    shape = "locus_id long, seed long, tid int, ordinal long, start long, end long, junctions array<struct<s:bigint,e:bigint>>"
+    rows = [(1, m, 0, 4 * m + i, i, 500 + i, [(100 + (i == 3), 200)]) for m in range(40) for i in range(4)]
+    table = graph.cut_lineage(spark.createDataFrame(rows, shape))
+    found = representative.junction_votes(table)
+    assert sorted(tuple(r) for r in found.collect()) == [x for m in range(40) for x in ((1, m, 100, 200, 3, 4, True, False), (1, m, 101, 200, 1, 4, False, True))]
+    # One shuffle for each side of the join, none between the counts and the join.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = representative.junction_votes(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
