@@ -46,6 +46,8 @@ SCREEN_BITS = 24
 LARGE = 48
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 19
+#: Links that a task writes in a round of the components, about.
+PART_LINKS = 1 << 13
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -267,12 +269,18 @@ def linked_blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: i
     return dealt.join(shuffled(sets), "class_id").groupBy("key", "lo", "hi").applyInArrow(met, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) for every node of the undirected edges (a, b).
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """node, component (its smallest reachable node) for every node of the undirected edges (a, b), ``n`` of them if given.
 
-    Alternates large-star and small-star rounds until nothing changes; each round is a few aggregations by node.
+    Alternates large-star and small-star rounds until nothing changes; each round is a few aggregations by node. What a
+    round writes are distinct pairs, in parts by their number instead of one for each partition of a shuffle.
     """
-    edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+
+    def links(pairs: DataFrame, n: int | None) -> DataFrame:
+        pairs = pairs.filter("a <> b").distinct()
+        return staged(pairs if n is None else pairs.coalesce(max(1, -(-n // PART_LINKS))), "links")
+
+    edges = links(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n)
     was = None
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
@@ -286,9 +294,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(shuffled(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(shuffled(small_low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_low.select("a", F.col("m").alias("b")))
-        edges = staged(small.filter("a <> b").distinct(), "links")
-    nodes = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return nodes.union(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
+        edges = links(small, mark.n)
+    # Stars by now: no centre has an edge to a smaller node.
+    return edges.select("a", "b").union(edges.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -296,7 +304,7 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         return staged(components(links), "components")
     joined = _labelled(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    top = components(joined, links.count()).select(F.col("node").alias("component"), F.col("component").alias("top"))
     nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(shuffled(labels), "node", "left_anti").select("node", F.col("node").alias("component")))
     return staged(nodes.join(shuffled(top), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
 
@@ -321,7 +329,7 @@ def rare_buckets(buckets: DataFrame, texts: DataFrame, words: int, threshold: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["class_id", "shingles"])
 
-    nodes = staged(buckets.select("class_id", "n", "component").distinct(), "large-members")
+    nodes = buckets.select("class_id", "n", "component").distinct()
     sets = staged(texts.join(shuffled(nodes), "class_id", "left_semi").select("class_id", "text").mapInArrow(lean(shingled), "class_id long, shingles array<long>"), "large-sets")
     held = sets.select("class_id", F.explode("shingles").alias("key"))
     common = held.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
@@ -353,14 +361,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
         "stars",
     )
     ids = members.select("class_id").distinct()
-    texts = staged(class_texts(docs, staged(classes.select("class_id", "rep", "set_key").join(shuffled(ids), "class_id", "left_semi"), "candidates"), repeated, words), "candidate-texts")
+    texts = staged(class_texts(docs, classes.select("class_id", "rep", "set_key").join(shuffled(ids), "class_id", "left_semi"), repeated, words), "candidate-texts")
 
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     of_repeated = sets.join(shuffled(repeated), "doc_id", "left_semi").select("doc_id", "set_key").join(shuffled(classes.select("set_key", "class_id")), "set_key").select("doc_id", "class_id")
     same_id = of_repeated.join(shuffled(of_repeated.groupBy("doc_id").agg(F.min("class_id").alias("b"))), "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
-    labels = _merged(None, staged(confirmed(best, texts, words, threshold).union(same_id), "confirmed"))
+    labels = _merged(None, confirmed(best, texts, words, threshold).union(same_id))
     rest = _labelled(stars.join(shuffled(best), ["a", "b"], "left_anti").select("a", "b"), labels).filter("ca <> cb").select("a", "b")
-    labels = _merged(labels, staged(confirmed(rest, texts, words, threshold), "confirmed"))
+    # Distinct, so the few links that the many tasks find are shuffled and not a file for each of them.
+    labels = _merged(labels, staged(confirmed(rest, texts, words, threshold).distinct(), "confirmed"))
 
     # Buckets whose members still lie in several components.
     placed = members.join(shuffled(labels.select(F.col("node").alias("class_id"), "component")), "class_id", "left").select("key", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
@@ -374,7 +383,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
 
     pairs = met(apart.filter(F.col("size") < LARGE)).union(met(rare.filter(F.col("size") < LARGE))).distinct().join(shuffled(stars), ["a", "b"], "left_anti")
     links = confirmed(pairs, texts, words, threshold).union(linked_blocks(rare.filter(F.col("size") >= LARGE), texts, words, threshold))
-    labels = _merged(labels, staged(links, "confirmed"))
+    labels = _merged(labels, staged(links.distinct(), "confirmed"))
 
     placed = classes.select("set_key", "rep", "class_id").join(shuffled(labels.select(F.col("node").alias("class_id"), "component")), "class_id", "left").select("set_key", "rep", F.coalesce("component", "class_id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
